@@ -13,12 +13,12 @@ Method
    documents share has long lists, but no node needs them.
 4. Overlaps, in rounds. In every list that still holds several components, each node is paired with the list's most
    typical node (whose retained values are the most common): n - 1 pairs for n nodes. After these rounds, nodes of
-   different components that still share a list are paired in full, but for those which cannot have a link: a node's
-   overlap with any set outside its component is at most the number of its shingles that another component holds at
-   all. (A copy with too many edits to be linked with its origin fails here, as its edits are its own: so a large group of near copies and
-   its stragglers are not paired with each other.) Pairs are filtered by the sizes of the sets, then by the overlap of
-   the sketches and the union-sketch estimate, then verified on full sets. A pair within one component changes nothing
-   and is not tried.
+   different components that share a list of at most HOT_LIST nodes are paired in full. The nodes of longer lists (a
+   large group of near copies and its stragglers) are joined on full sets by a prefix filter that knows both sizes: two
+   sets with an overlap of at least o share one of the |a| - o + 1 rarest shingles of a and of the |b| - o + 1 rarest of
+   b; a straggler's own edits use these places up, so it isn't paired with the whole group. Pairs are filtered by the
+   sizes of the sets, then by the overlap of the sketches and the union-sketch estimate, then verified on full sets. A
+   pair within one component changes nothing and is not tried.
 5. Full sets are computed again from the texts, for the nodes concerned only.
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with nothing and are kept;
@@ -41,6 +41,10 @@ SKETCH = 48
 THRESHOLD = 80
 #: Rounds of pairing with the most typical node before all pairs of different components are tried.
 ROUNDS = 2
+#: Lists up to this length are paired in full.
+HOT_LIST = 64
+#: Ratio between the bounds of a size class.
+CLASS = 1.02
 #: Bytes of text whose shingles are made at once.
 STEP = 4 << 20
 
@@ -175,22 +179,32 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
     return stage.table(sets.groupBy("node").agg(F.first("members").alias("members")), "sets", codec="uncompressed")
 
 
-def _can_link(at: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
-    """The rows of ``at`` (v, node, n, pop, label) whose node may have a link outside its component, with ``most``.
-
-    most: how many shingles of the node occur in another component of ``at``; no overlap can be larger.
-    """
-    who = at.select("node", "n", "label").distinct()
+def _hot_pairs(who: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
+    """Candidate pairs (a, b) of different labels among ``who`` (node, n, label), complete for the threshold."""
     sets = _sets_of(who.select("node"), nodes, docs, width, stage)
-    posting = sets.join(who, "node").select("node", F.xxhash64("label").alias("c"), F.explode("members").alias("s"))
-    spread = posting.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("s")
-    most = posting.join(spread, "s", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
-    # The smallest set that a link could join the node with: of a similar size, and in one of its lists.
-    least = at.groupBy("v").agg(F.min("n").alias("low"))
-    other = at.join(least, "v").groupBy("node").agg(F.greatest(F.min("low"), F.ceil(F.first("n") * THRESHOLD / 100)).alias("low"))
-    able = most.join(other, "node").join(who.select("node", "n"), "node")
-    able = able.where(F.col("most") * (100 + THRESHOLD) >= (F.col("n") + F.col("low")) * THRESHOLD).select("node", "most")
-    return stage.table(at.join(able, "node"), "able")
+    posting = sets.join(who, "node").select("node", "n", "label", F.explode("members").alias("s"))
+    lists = posting.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    own = posting.join(lists, "s").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    size_class = F.floor(F.log("n") / float(np.log(CLASS))).cast("int")
+    steps = int(np.ceil(np.log(100 / THRESHOLD) / np.log(CLASS)))
+    own = stage.table(own.withColumn("k", size_class), "own")
+    share = THRESHOLD / (100 + THRESHOLD)
+
+    def keys(small: bool) -> DataFrame:
+        at = own.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+        other = F.col("k") + F.col("d") if small else F.col("k") - F.col("d")
+        low = F.pow(F.lit(CLASS), other.cast("double")) * (1 - 1e-9)
+        least = F.greatest(F.col("n").cast("double"), low) if small else low
+        need = F.ceil((F.col("n") + least) * share - 1e-6)
+        places = F.col("n") - need + 1 - (F.col("n") - F.size("x"))
+        at = at.withColumn("other", other).where(places > 0).select("node", "n", "label", "k", "other", F.explode(F.slice("x", F.lit(1), places.cast("int"))).alias("x"))
+        ks, kl = ("k", "other") if small else ("other", "k")
+        return at.select("node", "n", "label", F.col(ks).alias("ks"), F.col(kl).alias("kl"), F.col("x.s").alias("s"))
+
+    x, y = keys(True).alias("x"), keys(False).alias("y")
+    met = (F.col("x.s") == F.col("y.s")) & (F.col("x.ks") == F.col("y.ks")) & (F.col("x.kl") == F.col("y.kl"))
+    fits = (F.col("x.n") <= F.col("y.n")) & (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
+    return x.join(y, met & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
@@ -240,14 +254,16 @@ def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
             now = hubs.select("h.node").distinct()
             used = stage.table(now if used is None else used.unionByName(now).distinct(), "used")
         else:
-            at = _can_link(at, nodes, docs, width, stage)
-            mixed = at.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("v")
-            at = stage.table(at.join(mixed, "v", "left_semi"), "at")
-            x, y = at.alias("x"), at.alias("y")
-            enough = F.least("x.most", "y.most") * (100 + THRESHOLD) >= (F.col("x.n") + F.col("y.n")) * THRESHOLD
+            long_ = at.groupBy("v").agg(F.count("*").alias("len")).where(F.col("len") > HOT_LIST)
+            long_ = stage.table(long_.select("v"), "long")
+            short = at.join(long_, "v", "left_anti")
+            x, y = short.alias("x"), short.alias("y")
             apart = (F.col("x.v") == F.col("y.v")) & (F.col("x.label") < F.col("y.label"))
-            pairs = x.join(y, apart & _similar_sizes(F.col("x.n"), F.col("y.n")) & enough)
+            pairs = x.join(y, apart & _similar_sizes(F.col("x.n"), F.col("y.n")))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            hot = stage.table(at.join(long_, "v", "left_semi").select("node", "n", "label").distinct(), "hot")
+            if not hot.isEmpty():
+                pairs = pairs.unionByName(_hot_pairs(hot, nodes, docs, width, stage))
         pairs = stage.table(pairs.distinct(), "pairs")
         if turn == 0 or not pairs.isEmpty():
             found = _linked(pairs, nodes, docs, width, stage)

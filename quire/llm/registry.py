@@ -19,6 +19,12 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_tool_calls(table(spark, sf_dir, "conversations"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix_sources
 

@@ -19,12 +19,24 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_tool_calls(table(spark, sf_dir, "conversations"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.near_dedup import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"), width=2)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix_sources
 

@@ -19,6 +19,12 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_tool_calls(table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.language_id import identify_languages
 

@@ -49,6 +49,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -7,8 +7,9 @@ codes are improved part by part with the others held, then all centres are solve
 
 Search: the index is dealt into blocks of at most BLOCK vectors, the queries into blocks of QUERIES; each pair of blocks is
 one task's unit of work (a stated query set against all rows, in blocks). A query's table holds the inner products with all centres; a
-scan adds up table entries by code; the RERANK best of a block are scored exactly, in double precision, on the vectors
-stored in the block, and the block's best k go on to a merge by rank.
+scan adds up table entries by code; the RERANK best of a block, and all others that the scan's error could lift among the
+best, are scored exactly, in double precision, on the vectors stored in the block, and the block's best k go on to a
+merge by rank.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; ties go to the
 smaller vec_id; rows that share a vec_id are each a candidate, and none is a candidate of the query with that id;
@@ -32,6 +33,8 @@ ROUNDS = 3
 BLOCK = 16_384
 QUERIES = 512
 RERANK = 200
+#: Standard deviations of the scan's error beyond which it isn't made up for.
+REACH = 3.0
 K = 20
 EVERY = 20
 
@@ -137,6 +140,13 @@ def search_block(ids: np.ndarray, at: np.ndarray, codes: np.ndarray, vectors: np
             score += tables[i, j][pairs[j]]
         near = _best(score, rerank)
         exact = inner(vectors[near], queries[i])
+        if len(near) < len(score) and len(near) >= k:
+            # What the scan's error, as these show it, could lift to the k-th best is scored exactly as well: all of a
+            # dense group of vectors, whose codes are alike.
+            error = exact - score[near]
+            reach = -np.partition(-exact, k - 1)[k - 1] - max(error.mean(), 0.0) - REACH * error.std()
+            more = np.setdiff1d(np.flatnonzero(score >= reach), near)
+            near, exact = np.concatenate((near, more)), np.concatenate((exact, inner(vectors[more], queries[i])))
         # The best k + 1 vectors and what ties with the last, each with its smallest k + 1 ids besides the query's own.
         if len(near) > k + 1:
             edge = -np.partition(-exact, k)[k]

@@ -156,7 +156,9 @@ def _keys(nodes: DataFrame, stage: Staging) -> DataFrame:
     m = F.least(F.ceil(F.col("n") * THRESHOLD / 100), F.lit(SKETCH // 2))
     places = (k - m + 1) - (k - F.size("x"))
     own = own.where(places > 0).select("node", "n", "pop", F.explode(F.slice("x", F.lit(1), places.cast("int"))).alias("x"))
-    return stage.table(own.select("node", "n", "pop", F.col("x.v").alias("v")), "keys")
+    keys = stage.table(own.select("node", "n", "pop", F.col("x.v").alias("v")), "keys")
+    stage.drop(lists)
+    return keys
 
 
 def _similar_sizes(a: Column, b: Column) -> Column:
@@ -197,13 +199,19 @@ def _hot_pairs(who: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, st
         least = F.greatest(F.col("n").cast("double"), low) if small else low
         need = F.ceil((F.col("n") + least) * share - 1e-6)
         places = F.col("n") - need + 1 - (F.col("n") - F.size("x"))
-        at = at.withColumn("other", other).where(places > 0).select("node", "n", "label", "k", "other", F.explode(F.slice("x", F.lit(1), places.cast("int"))).alias("x"))
+        at = at.withColumn("other", other).where(places > 0).withColumn("single", F.col("n") - F.size("x"))
+        at = at.select("node", "n", "label", "k", "other", "single", F.col("x.s").alias("all"), F.posexplode(F.slice("x.s", F.lit(1), places.cast("int"))).alias("i", "s"))
         ks, kl = ("k", "other") if small else ("other", "k")
-        return at.select("node", "n", "label", F.col(ks).alias("ks"), F.col(kl).alias("kl"), F.col("x.s").alias("s"))
+        # rest: how many of the set come at this place or later; before: the listed shingles that come earlier.
+        rest = F.col("n") - F.col("single") - F.col("i")
+        return at.select("node", "n", "label", F.col(ks).alias("ks"), F.col(kl).alias("kl"), "s", rest.alias("rest"), F.slice("all", F.lit(1), F.col("i")).alias("before"))
 
     x, y = keys(True).alias("x"), keys(False).alias("y")
     met = (F.col("x.s") == F.col("y.s")) & (F.col("x.ks") == F.col("y.ks")) & (F.col("x.kl") == F.col("y.kl"))
     fits = (F.col("x.n") <= F.col("y.n")) & (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
+    # A pair comes once, at the first shingle that it shares, and only if enough of either set is left from there on.
+    fits &= F.least("x.rest", "y.rest") * (100 + THRESHOLD) >= (F.col("x.n") + F.col("y.n")) * THRESHOLD
+    fits &= ~F.arrays_overlap("x.before", "y.before")
     return x.join(y, met & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
@@ -221,7 +229,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, sta
     both = both.join(sets.select(F.col("node").alias("b"), F.col("members").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return stage.table(both.where(common * 100 >= union * THRESHOLD).select("a", "b"), "links")
+    links = stage.table(both.where(common * 100 >= union * THRESHOLD).select("a", "b"), "links")
+    stage.drop(sets)
+    return links
 
 
 def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -230,6 +240,8 @@ def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
     rows = stage.table(sketches(docs, width), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stage.table(nodes, "nodes")
+    whole_rows, rows = rows, stage.table(rows.drop("sketch"), "rows")
+    stage.drop(whole_rows)
     keys = _keys(nodes, stage)
     links = None
     labels = None
@@ -278,7 +290,7 @@ def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
         first = whole.groupBy("label").agg(F.min("first_id").alias("component_id"))
         classes = whole.join(first, "label").select("node", "component_id")
     classes = stage.table(classes.withColumnRenamed("node", "q_node"), "classes")
-    out = rows.drop("sketch").join(classes, F.col("node") == F.col("q_node"), "left")
+    out = rows.join(classes, F.col("node") == F.col("q_node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -9,9 +9,9 @@ the table of ranks, bounded by the vocabulary, is a file of its own beside the b
 Decoding looks each control byte up in a table of four lengths, from which the places of all tokens follow by a running
 sum, and gathers the bytes by numpy indexing.
 
-Each document ends with END. Texts are cut at single blanks before encoding and equal pieces are encoded once: the
-vocabulary's own splitting always cuts there (texts with two blanks in a row, or with what may be a special token, are
-encoded whole).
+Each document ends with END. Texts are cut at single blanks and line feeds before encoding and equal pieces are encoded once: the
+vocabulary's own splitting always cuts there, and between a run of letters and a mark that follows it. (Texts with two
+of blank and line feed in a row, or with what may be a special token, are encoded whole.)
 
 Defined results: null counts as the empty text, which has the END token alone; rows with a null doc_id come first; rows
 that share a doc_id stand next to each other in any order; very long texts make a block of their own; an empty table gives
@@ -36,7 +36,12 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Tokens of a block (a longer document makes a block of its own) and pieces that a Python process remembers.
 BLOCK = 1 << 19
-PIECES = 600_000
+PIECES = 900_000
+
+
+MARKS = tuple(".,;:!?")
+#: Texts that hold one of these are encoded whole.
+WHOLE = ("  ", "\n\n", " \n", "\n ", "<|")
 
 
 class Encoder:
@@ -47,15 +52,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in plain]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
         self.after, self.first = {}, {}
-        self.n, self.used = 0, 0
         self.start, self.size, self.store = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
-
-    def _learn(self, table: dict, keys: list[str], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.n, self.used, self.size[0] = 1, len(self.line), len(self.line)  # code 0: the line feed
+        self.store[: self.used] = self.line
+
+    def _one(self, piece: str, blank: bool) -> list[int] | None:
+        """Ids of letters with at most one mark behind them, straight from the model; None for other pieces."""
+        mark = piece[-1:] if piece[-1:] in MARKS else ""
+        word = piece[:-1] if mark else piece
+        if not word.isalpha():
+            return None
+        bare = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize("\u0120" + bare if blank else bare)]
+        return [*ids, *self.marks[mark]] if mark else ids
+
+    def _learn(self, table: dict, keys: list[str], blank: bool) -> None:
+        found = [self._one(k, blank) for k in keys]
+        other = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([" " + keys[i] if blank else keys[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
         while self.n + len(keys) > len(self.start):
@@ -74,23 +100,31 @@ class Encoder:
         """The ids of each text, END included."""
         if self.n > PIECES:
             self.forget()
-        whole = [i for i, t in enumerate(texts) if "  " in t or "<|" in t]
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in WHOLE)]
         apart = set(whole)
-        lists = [[] if i in apart else t.split(" ") for i, t in enumerate(texts)]
-        heads = [x[0] if x else "" for x in lists]
+        lines = [""] if not texts else [x for i, t in enumerate(texts) for x in ([""] if i in apart else t.split("\n"))]
+        n_lines = np.fromiter((1 if i in apart else t.count("\n") + 1 for i, t in enumerate(texts)), np.int64, len(texts))
+        lists = [x.split(" ") for x in lines[: int(n_lines.sum())]]
+        heads = [x[0] for x in lists]
         rest = [p for x in lists for p in x[1:]]
         if new := list(set(rest).difference(self.after)):
-            self._learn(self.after, new, [" " + p for p in new])
+            self._learn(self.after, new, True)
         if new := list(set(heads).difference(self.first)):
-            self._learn(self.first, new, new)
+            self._learn(self.first, new, False)
         tail = np.fromiter(map(self.after.__getitem__, rest), np.int64, len(rest))
         head = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        counts = np.fromiter((max(1, len(x)) for x in lists), np.int64, len(lists))
-        begin = np.cumsum(counts) - counts
-        codes = np.empty(int(counts.sum()), np.int64)
-        mask = np.ones(len(codes), bool)
+        # Codes line by line: the line feed before every line but a text's first (code 0), then its pieces.
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        opens = np.ones(len(lists), np.int64)
+        opens[np.cumsum(n_lines) - n_lines] = 0
+        begin = np.cumsum(counts + opens) - counts
+        total = int((counts + opens).sum())
+        codes = np.zeros(total, np.int64)
+        mask = np.ones(total, bool)
         mask[begin] = False
+        mask[begin[opens == 1] - 1] = False
         codes[begin], codes[mask] = head, tail
+        begin = (begin - opens)[np.cumsum(n_lines) - n_lines]
         size = self.size[codes].astype(np.int64)
         upto = np.cumsum(size)
         place = np.repeat(self.start[codes] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)

@@ -64,7 +64,8 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copi
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     sources = sources.withColumn("level", left / weight_left).withColumn("capped", F.col("ratio") <= F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    # The first uncapped source in this order has the largest level of the uncapped ones: from there on, levels fall.
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
     return sources.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 

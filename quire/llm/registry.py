@@ -55,6 +55,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.sentencepieces import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.nearest import nearest
 
@@ -62,7 +68,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    import corpus_pipeline
+
+    found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 ORACLE = {}
@@ -107,7 +116,7 @@ s2 AS (
   SELECT *, cap / w AS ratio,
     (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM s1 WINDOW b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS flat FROM s2),
+s3 AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS flat FROM s2),
 s4 AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE w * flat END AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM s4),
 s6 AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS p, target - floor(copies) * source_size AS rest FROM s5),

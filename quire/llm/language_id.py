@@ -15,15 +15,17 @@ a training row (its crc32 is that of no text) and not held out; very long texts
 
 from __future__ import annotations
 
+import re
 import sys
-import unicodedata
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import Staging
+
 FEATURES = 20_000
 #: Languages that a model can hold; the most frequent ones of the training rows.
 LANGUAGES = 256
@@ -45,9 +47,14 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "lao"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF00, "other"), (0x20000, "han"), (0x30000, "other")]
 
 
-def script(c: str) -> str:
-    at = np.searchsorted([x[0] for x in SCRIPTS], ord(c), side="right") - 1
-    return SCRIPTS[int(at)][1]
+_BOUNDS = np.array([x[0] for x in SCRIPTS])
+_NAMES = sorted({x[1] for x in SCRIPTS})
+_BITS = np.array([1 << _NAMES.index(x[1]) for x in SCRIPTS], np.int64)
+
+
+def script_bits(codes: np.ndarray) -> np.ndarray:
+    """One bit per script: that of each code point."""
+    return _BITS[np.searchsorted(_BOUNDS, codes, side="right") - 1]
 
 
 def letter_words(text: Column) -> Column:
@@ -66,40 +73,57 @@ def learn(docs: DataFrame, features: int = FEATURES) -> dict:
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("w")), lambda i: F.substr(marked, i, F.lit(3)))).alias("g"))
     grams = grams.groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    grams = Staging(docs.sparkSession, "language").table(grams, "grams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    from pyspark.sql import Window
-
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))
     rows = grams.where(F.col("lang").isin(list(totals))).withColumn("r", best).where(F.col("r") <= features).collect() if totals else []
     languages = sorted(totals)
     at = {x: i for i, x in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
     unseen = np.array([np.log(SMOOTH / (totals[x] + SMOOTH * features)) for x in languages], np.float32)
-    scripts: list[dict[str, int]] = [{} for _ in languages]
+    found = sorted({r["g"] for r in rows if len(r["g"]) == 3}, key=lambda g: [ord(c) for c in g])
+    place = {g: i for i, g in enumerate(found)}
+    table = np.tile(unseen, (len(found) + 1, 1))  # the last row stands for trigrams that aren't in the model
+    scripts = [{} for _ in languages]
     for r in rows:
         i = at[r["lang"]]
-        table.setdefault(r["g"], unseen.copy())[i] = np.log((r["n"] + SMOOTH) / (totals[r["lang"]] + SMOOTH * features))
+        if r["g"] in place:
+            table[place[r["g"]], i] = np.log((r["n"] + SMOOTH) / (totals[r["lang"]] + SMOOTH * features))
         for c in r["g"].strip("^$"):
-            scripts[i][script(c)] = scripts[i].get(script(c), 0) + r["n"]
-    used = [{s for s, n in x.items() if n * 1000 >= sum(x.values())} for x in scripts]
-    return {"languages": languages, "table": table, "unseen": unseen, "scripts": used}
-
-
-def word_scores(word: str, model: dict) -> np.ndarray:
-    """Log-probability of a word in each language; minus infinity where its script rules a language out."""
-    marked = f"^{word}$"
-    table, unseen = model["table"], model["unseen"]
-    score = np.zeros(len(unseen), np.float32)
-    for i in range(len(word)):
-        score = score + table.get(marked[i : i + 3], unseen)
-    own = {script(c) for c in set(word)}
-    out = np.array([not own <= s for s in model["scripts"]])
-    if not out.all():
-        score[out] = -np.inf
-    elif len(own) > 1 and any(own & s for s in model["scripts"]):  # mixed scripts: any language that uses one of them
-        score[np.array([not own & s for s in model["scripts"]])] = -np.inf
-    else:
-        score[:] = np.nan
+            bit = int(script_bits(np.array([ord(c)]))[0])
+            scripts[i][bit] = scripts[i].get(bit, 0) + r["n"]
+    used = np.array([sum(b for b, n in x.items() if n * 1000 >= sum(x.values())) for x in scripts], np.int64)
+    keys = _trigrams(np.array([[ord(c) for c in g] for g in found], np.int64).reshape(-1, 3).T)
+    return {"languages": languages, "keys": keys, "table": table, "scripts": used}
+
+
+def _trigrams(codes) -> np.ndarray:
+    return codes[0] << 42 | codes[1] << 21 | codes[2]
+
+
+def score_words(words: list[str], model: dict) -> np.ndarray:
+    """Log-probability of each word in each language; minus infinity where its scripts rule a language out.
+
+    A word in several scripts may be of any language that uses one of them, if none uses all. Words in scripts that no
+    language uses get NaN.
+    """
+    if not words or not model["languages"]:
+        return np.full((len(words), len(model["languages"])), np.nan, np.float32)
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(size + 2) - size - 2
+    # The trigrams of a word begin at its mark and at all of its letters but the last.
+    first = np.cumsum(size) - size
+    at = np.repeat(begin - first, size) + np.arange(int(size.sum()))
+    key = _trigrams((codes[at], codes[at + 1], codes[at + 2]))
+    row = np.minimum(np.searchsorted(model["keys"], key), max(len(model["keys"]) - 1, 0))
+    row = np.where(model["keys"][row] == key, row, len(model["keys"])) if len(model["keys"]) else np.zeros(len(key), np.int64)
+    score = np.add.reduceat(model["table"][row], first, axis=0)
+    own = np.bitwise_or.reduceat(script_bits(codes[at + 1]), first)[:, None]
+    lacks = (own & ~model["scripts"]) != 0
+    none = lacks.all(1)
+    lacks[none] = ((own & model["scripts"]) == 0)[none]
+    score[lacks] = -np.inf
+    score[lacks.all(1)] = np.nan
     return score
 
 
@@ -139,40 +163,88 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return label
 
 
-def _scores_of(words: np.ndarray, model: dict, cache: dict) -> np.ndarray:
-    """Scores of distinct words, from the process's cache where it has them."""
-    if len(cache) > CACHE:
-        cache.clear()
-    out = np.empty((len(words), len(model["languages"])), np.float32)
-    for i, w in enumerate(words):
-        found = cache.get(w)
-        if found is None:
-            found = cache[w] = word_scores(w, model)
-        out[i] = found
-    return out
+class Words:
+    """A model's scores of the words that a Python process remembers."""
+
+    def __init__(self, model: dict):
+        self.model, self.key = model, id(model)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1 << 12, len(self.model["languages"])), np.float32)
 
+    def codes(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > CACHE:
+            self.forget()
+        if new := list(set(words).difference(self.known)):
+            n = len(self.known)
+            while n + len(new) > len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            self.scores[n : n + len(new)] = score_words(new, self.model)
+            self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-def label_texts(texts: list[str], model: dict, cache: dict, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, letters, label) per word and the number of words per text; label 255 where no language is possible."""
-    import re
 
+def _remembered(model: dict) -> Words:
+    held = sys.__dict__.get("_quire_language_words")
+    if held is None or held.model is not model:
+        held = sys._quire_language_words = Words(model)
+    return held
+
+
+def single_language(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
+    """Per text the language that labels all of its words, or -1 where Viterbi has to decide.
+
+    If no run of words gains more than half a switch from any other language than the text's best one, no path of
+    several languages is better: m runs away from it gain m halves at most, and cost m - 1 switches at least.
+    """
+    texts, k = len(lengths), scores.shape[1]
+    owner = np.repeat(np.arange(texts), lengths)
+    total = np.stack([np.bincount(owner, scores[:, j], texts) for j in range(k)], axis=1)
+    best = total.argmax(1)
+    own = scores[np.arange(len(owner)), best[owner]].astype(np.float64)
+    most = np.full(texts, -np.inf)
+    starts = np.cumsum(lengths) - lengths
+    full = lengths > 0
+    for j in range(k):
+        gain = np.cumsum(scores[:, j] - own)
+        before = np.concatenate(([0.0], gain[:-1]))
+        # Running minimum within each text: texts are set apart by an offset larger than any sum.
+        apart = owner * (2.0 * (np.abs(gain).max(initial=0.0) + 1.0))
+        low = np.minimum.accumulate(before - apart) + apart
+        top = np.maximum.reduceat(gain - low, starts[full]) if full.any() else np.zeros(0)
+        most[full] = np.maximum(most[full], np.where(best[full] == j, 0.0, top))
+    return np.where(most <= switch / 2, best, -1)
+
+
+def label_texts(texts: list[str], words: Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, letters, label) of each word; label 255 where no language is possible."""
     find = sys.__dict__.setdefault("_quire_letters", re.compile(r"[^\W\d_]+")).findall
     lists = [find(t.lower()) for t in texts]
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    codes, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
-    scores = _scores_of(words, model, cache) if len(words) else np.zeros((0, len(model["languages"])), np.float32)
-    letters = np.fromiter(map(len, words), np.int64, len(words))[codes]
-    owner = np.repeat(np.arange(len(lists)), lengths)
-    known = ~np.isnan(scores[:, 0])[codes] if scores.shape[1] else np.zeros(len(codes), bool)
-    label = np.full(len(codes), 255, np.uint8)
-    if known.any():
-        label[known] = viterbi(np.maximum(scores[codes[known]], np.float32(-1e4)), np.bincount(owner[known], minlength=len(lists)), switch)
-    return owner, letters, label, lengths
+    flat = [w for x in lists for w in x]
+    owner = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
+    letters = np.fromiter(map(len, flat), np.int64, len(flat))
+    codes = words.codes(flat)
+    scores = words.scores[codes]
+    label = np.full(len(flat), 255, np.uint8)
+    if not scores.size:
+        return owner, letters, label
+    known = ~np.isnan(scores[:, 0])
+    rows, of = np.maximum(scores[known], np.float32(-1e4)), owner[known]
+    lengths = np.bincount(of, minlength=len(lists))
+    whole = single_language(rows, lengths, switch)
+    out = whole[of].astype(np.uint8)
+    hard = whole[of] < 0
+    if hard.any():
+        out[hard] = viterbi(rows[hard], np.where(whole < 0, lengths, 0), switch)
+    label[known] = out
+    return owner, letters, label
 
 
 def spans(text: str, model: dict, switch: float = SWITCH) -> list[tuple[int, int, str]]:
     """(first word, last word, language) of a text's spans, words being runs of letters."""
-    _, _, label, _ = label_texts([text], model, {}, switch)
+    _, _, label = label_texts([text], Words(model), switch)
     cuts = [0, *(np.flatnonzero(np.diff(label.astype(int))) + 1), len(label)]
     return [(int(a), int(b) - 1, model["languages"][label[a]] if label[a] < 255 else "und") for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
@@ -183,10 +255,7 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        cache = sys.__dict__.setdefault("_quire_language_words", {})
-        if sys.__dict__.get("_quire_language_model") != id(model):
-            cache.clear()
-            sys._quire_language_model = id(model)
+        words = _remembered(model)
         names = np.array([*model["languages"], "und"], dtype=object)
         k = len(model["languages"])
         for batch in batches:
@@ -198,7 +267,7 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 while upto < len(texts) and (upto == at or size < STEP * 6):
                     size += len(texts[upto])
                     upto += 1
-                owner, letters, label, _ = label_texts(texts[at:upto], model, cache, switch)
+                owner, letters, label = label_texts(texts[at:upto], words, switch)
                 m = upto - at
                 weight = np.bincount(owner * (k + 1) + np.minimum(label, k), letters, m * (k + 1)).reshape(m, k + 1)
                 total = weight.sum(1)
@@ -235,12 +304,9 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
         k = len(model["languages"])
         found = []
         values = ["" if t is None else t for t in texts]
-        cache = sys.__dict__.setdefault("_quire_language_words", {})
-        if sys.__dict__.get("_quire_language_model") != id(model):
-            cache.clear()
-            sys._quire_language_model = id(model)
+        words = _remembered(model)
         for at in range(0, len(values), 1000):
-            owner, letters, label, _ = label_texts(values[at : at + 1000], model, cache)
+            owner, letters, label = label_texts(values[at : at + 1000], words)
             m = len(values[at : at + 1000])
             weight = np.bincount(owner * (k + 1) + np.minimum(label, k), letters, m * (k + 1)).reshape(m, k + 1)
             total = weight.sum(1)

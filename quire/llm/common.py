@@ -1,14 +1,14 @@
-"""Helpers that the training-data operators share: table access, staged tables, checked broadcasts."""
+"""What the training-data operators share: table access, staged tables, checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import suppress
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.staging import Staging, partitions
+
+__all__ = ["BROADCAST_ROWS", "Staging", "checked_broadcast", "partitions", "table", "text_or_empty"]
+
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows (ids, not texts).
 BROADCAST_ROWS = 1_000_000
 
@@ -17,56 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.quire.staging.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.quire.staging.dir", named)
-    return named.rstrip("/")
-
-
-class Staging:
-    """Intermediate tables of one operator call, written as Parquet to the shared folder and reread.
-
-    Writing cuts the lineage (a lost executor costs a reread, not a recomputation) and gives joins plain scans on both
-    sides, which adaptive execution can split when a key is hot.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._quire_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a staged table that nothing reads any more."""
-        path = getattr(df, "_quire_path", None)
-        if path:
-            with suppress(Exception):
-                jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def checked_broadcast(ids: DataFrame) -> DataFrame:
     """``ids`` (a staged, narrow table), marked for broadcast when its counted rows allow it; else left to a shuffle join."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

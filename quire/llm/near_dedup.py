@@ -15,8 +15,9 @@ Method
    typical node (whose retained values are the most common): n - 1 pairs for n nodes. After these rounds, nodes of
    different components that share a list of at most HOT_LIST nodes are paired in full. The nodes of longer lists (a
    large group of near copies and its stragglers) are joined on full sets by a prefix filter that knows both sizes: two
-   sets with an overlap of at least o share one of the |a| - o + 1 rarest shingles of a and of the |b| - o + 1 rarest of
-   b; a straggler's own edits use these places up, so it isn't paired with the whole group. Pairs are filtered by the
+   sets with an overlap of at least o share a shingle among the |a| - o + 1 rarest of a and the |b| - o + 1 rarest of b,
+   and SHARE of them among as many more; a straggler's own edits use these places up, so it isn't paired with the whole
+   group. Pairs are filtered by the
    sizes of the sets, then by the overlap of the sketches and the union-sketch estimate, then verified on full sets. A
    pair within one component changes nothing and is not tried.
 5. Full sets are computed again from the texts, for the nodes concerned only.
@@ -43,6 +44,8 @@ THRESHOLD = 80
 ROUNDS = 2
 #: Lists up to this length are paired in full.
 HOT_LIST = 64
+#: Shingles that a pair of long lists must share among its rarest.
+SHARE = 3
 #: Ratio between the bounds of a size class.
 CLASS = 1.02
 #: Bytes of text whose shingles are made at once.
@@ -200,11 +203,11 @@ def _hot_pairs(who: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, st
         need = F.ceil((F.col("n") + least) * share - 1e-6)
         places = F.col("n") - need + 1 - (F.col("n") - F.size("x"))
         at = at.withColumn("other", other).where(places > 0).withColumn("single", F.col("n") - F.size("x"))
-        at = at.select("node", "n", "label", "k", "other", "single", F.col("x.s").alias("all"), F.posexplode(F.slice("x.s", F.lit(1), places.cast("int"))).alias("i", "s"))
+        at = at.select("node", "n", "label", "k", "other", "single", F.slice("x.s", F.lit(1), (places + (SHARE - 1)).cast("int")).alias("all"), F.posexplode(F.slice("x.s", F.lit(1), places.cast("int"))).alias("i", "s"))
         ks, kl = ("k", "other") if small else ("other", "k")
-        # rest: how many of the set come at this place or later; before: the listed shingles that come earlier.
+        # rest: how many of the set come at this place or later; before, after: the listed shingles around this place.
         rest = F.col("n") - F.col("single") - F.col("i")
-        return at.select("node", "n", "label", F.col(ks).alias("ks"), F.col(kl).alias("kl"), "s", rest.alias("rest"), F.slice("all", F.lit(1), F.col("i")).alias("before"))
+        return at.select("node", "n", "label", F.col(ks).alias("ks"), F.col(kl).alias("kl"), "s", rest.alias("rest"), F.slice("all", F.lit(1), F.col("i")).alias("before"), F.slice("all", F.col("i") + 2, F.size("all")).alias("after"))
 
     x, y = keys(True).alias("x"), keys(False).alias("y")
     met = (F.col("x.s") == F.col("y.s")) & (F.col("x.ks") == F.col("y.ks")) & (F.col("x.kl") == F.col("y.kl"))
@@ -212,17 +215,23 @@ def _hot_pairs(who: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, st
     # A pair comes once, at the first shingle that it shares, and only if enough of either set is left from there on.
     fits &= F.least("x.rest", "y.rest") * (100 + THRESHOLD) >= (F.col("x.n") + F.col("y.n")) * THRESHOLD
     fits &= ~F.arrays_overlap("x.before", "y.before")
+    few = (F.col("x.n") + F.col("y.n")) * THRESHOLD < SHARE * (100 + THRESHOLD)
+    fits &= few | (F.size(F.array_intersect("x.after", "y.after")) >= SHARE - 1)
     return x.join(y, met & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _likely(pairs: DataFrame, nodes: DataFrame, stage: Staging) -> DataFrame:
+    """The pairs (a, b) that the overlap of their sketches and the union-sketch estimate leave."""
     side = nodes.select("node", "n", "sketch")
     both = pairs.join(side.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
     both = both.join(side.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
     need = F.least(F.ceil(F.greatest("na", "nb") * THRESHOLD / 100), F.lit(SKETCH // 2))
-    likely = stage.table(both.where((overlap >= need) & (_estimate(F.col("sa"), F.col("sb")) >= 0.5)).select("a", "b"), "likely")
+    return stage.table(both.where((overlap >= need) & (_estimate(F.col("sa"), F.col("sb")) >= 0.5)).select("a", "b"), "likely")
+
+
+def _linked(likely: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(wanted, nodes, docs, width, stage)
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("sa")), "a")
@@ -274,11 +283,13 @@ def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
             pairs = x.join(y, apart & _similar_sizes(F.col("x.n"), F.col("y.n")))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             hot = stage.table(at.join(long_, "v", "left_semi").select("node", "n", "label").distinct(), "hot")
-            if not hot.isEmpty():
-                pairs = pairs.unionByName(_hot_pairs(hot, nodes, docs, width, stage))
         pairs = stage.table(pairs.distinct(), "pairs")
-        if turn == 0 or not pairs.isEmpty():
-            found = _linked(pairs, nodes, docs, width, stage)
+        likely = _likely(pairs, nodes, stage)
+        if turn == ROUNDS and not hot.isEmpty():
+            # The prefix filter leaves hardly a pair that sketches could tell to be unlike.
+            likely = stage.table(likely.unionByName(_hot_pairs(hot, nodes, docs, width, stage)).distinct(), "likely")
+        if not likely.isEmpty():
+            found = _linked(likely, nodes, docs, width, stage)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links, stage)

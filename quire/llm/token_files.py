@@ -10,8 +10,9 @@ Decoding looks each control byte up in a table of four lengths, from which the p
 sum, and gathers the bytes by numpy indexing.
 
 Each document ends with END. Texts are cut at single blanks and line feeds before encoding and equal pieces are encoded once: the
-vocabulary's own splitting always cuts there, and between a run of letters and a mark that follows it. (Texts with two
-of blank and line feed in a row, or with what may be a special token, are encoded whole.)
+vocabulary's own splitting cuts there if no other white space stands beside, and between a run of letters and a mark that
+follows it. (Texts with a blank or line feed next to white space of any kind, or with what may be a special token, are encoded
+whole: the splitting keeps runs of white space together.)
 
 Defined results: null counts as the empty text, which has the END token alone; rows with a null doc_id come first; rows
 that share a doc_id stand next to each other in any order; very long texts make a block of their own; an empty table gives
@@ -21,6 +22,7 @@ an empty result; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 
@@ -42,6 +44,18 @@ PIECES = 900_000
 MARKS = tuple(".,;:!?")
 #: Texts that hold one of these are encoded whole.
 WHOLE = ("  ", "\n\n", " \n", "\n ", "<|")
+#: White space besides blank and line feed (Python's \s, which holds all of Unicode's), and that next to one of these two.
+ASCII_SPACE = ("\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
+WIDE_SPACE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+BESIDE = re.compile(r"[^\S \n][ \n]|[ \n][^\S \n]")
+
+
+def uncut(text: str) -> bool:
+    """Whether a text has to be encoded whole."""
+    if any(x in text for x in WHOLE):
+        return True
+    spaced = any(x in text for x in ASCII_SPACE) or (not text.isascii() and any(x in text for x in WIDE_SPACE))
+    return spaced and BESIDE.search(text) is not None
 
 
 class Encoder:
@@ -100,7 +114,7 @@ class Encoder:
         """The ids of each text, END included."""
         if self.n > PIECES:
             self.forget()
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in WHOLE)]
+        whole = [i for i, t in enumerate(texts) if uncut(t)]
         apart = set(whole)
         lines = [""] if not texts else [x for i, t in enumerate(texts) for x in ([""] if i in apart else t.split("\n"))]
         n_lines = np.fromiter((1 if i in apart else t.count("\n") + 1 for i, t in enumerate(texts)), np.int64, len(texts))

@@ -214,6 +214,19 @@ def test_token_files(spark, docs, nothing):
     assert token_files.token_files(nothing).count() == 0
 
 
+def test_white_space_runs_of_token_files(spark):
+    """Blanks and line feeds next to white space of every kind, on both sides, as the library encodes the whole text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    kinds = ["\t", "\v", "\f", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+    texts = ["a \xa0 \xa0 b", "a\n\xa0\xa0b", "a\r\nb", *(f"a{x}b" for k in kinds for x in (f" {k}", f"{k} ", f"\n{k}", f"{k}\n", f"{k} {k}{k}", f" {k} {k} ", f"\n{k}{k}\n"))]
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    got = token_files.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_packing_of_ranks():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 3], np.uint32)
     control, data = token_files.pack(ranks)

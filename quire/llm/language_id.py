@@ -291,7 +291,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the texts of which no learned language holds half of the letters.
+    """``docs`` with all its columns, without the texts that ``predict`` calls ``und``: no letters, or none of a possible language.
 
     The decision is made beside the row, by a pandas function of the text, so that texts are neither joined nor shuffled.
     """
@@ -313,4 +313,4 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
             found.append(np.divide(weight[:, :k].max(1, initial=0), total, out=np.zeros(m), where=total > 0))
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.withColumn("q_share", share(F.col("text").cast("string"))).where("q_share >= 0.5").drop("q_share")
+    return docs.withColumn("q_share", share(F.col("text").cast("string"))).where("q_share > 0").drop("q_share")

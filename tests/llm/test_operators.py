@@ -291,6 +291,24 @@ def test_language_id(spark, nothing):
     assert [x[2] for x in mixed] == ["en", "de"]
 
 
+def test_mixed_languages_stay_in_the_pipeline(spark):
+    """Only what op4 calls und goes: not three languages in one text, nor many letters of a script that training lacks."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    by = {}
+    for r in table.where("length(text) > 400 and lang is not null").orderBy("doc_id").collect():
+        by.setdefault(r["lang"], re.findall(r"[^\W\d_]+", r["text"]))
+    cut = lambda lang, n: " ".join(itertools.takewhile(lambda w, left=[n]: left.__setitem__(0, left[0] - len(w)) or left[0] >= 0, itertools.cycle(by[lang])))  # noqa: B006, E731
+    texts = {-1: f"{cut('en', 900)} {cut('de', 600)} {cut('fr', 500)}", -2: f"{cut('en', 300)} {'\u13a0\u13a1\u13a2\u13a3 ' * 90}", -3: "12 34 !", -4: "\u13a0\u13a1\u13a2", -5: None}
+    rows = table.unionByName(spark.createDataFrame([(i, t, None, "odd", 0) for i, t in texts.items()], SCHEMA), allowMissingColumns=True)
+    left = {r["doc_id"] for r in corpus_pipeline.language(spark, rows, DATA).collect()}
+    op4 = {r["doc_id"]: r for r in language_id.identify_languages(rows).collect()}
+    assert left & set(texts) == {-1, -2} and op4[-1]["lang_pred"] == op4[-2]["lang_pred"] == "en"
+    assert 0 < op4[-1]["score"] < 0.5 and 0 < op4[-2]["score"] < 0.5
+    assert left == {i for i, r in op4.items() if r["lang_pred"] != "und"}
+
+
 def test_toxicity(spark, nothing):
     r = random.Random(1)
     plain = ["".join(r.choice(["ba", "do", "ke", "li", "mu", "ra", "so", "ti"]) for _ in range(r.randint(2, 4))) for _ in range(300)]

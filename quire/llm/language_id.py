@@ -1,9 +1,10 @@
 """Language identification of text spans.
 
-Script ranges narrow the candidates of a word: each learned language has the scripts that its training words used. A word's
+Words are a letter and the letters and marks behind it, in learning and prediction alike: Spark cuts them, ``letter_words``.
+Script ranges narrow the candidates of a word: each learned language has the scripts that its training words' letters used. A word's
 score per candidate is the sum of log-probabilities of its letter trigrams (with word bounds), from all training
 documents' counts. Viterbi over the words of a text, with a penalty for each change of language, labels spans; the
-language whose spans hold the most letters is the prediction, its share of the letters the score.
+language whose spans hold the most letters (marks don't count) is the prediction, its share of the letters the score.
 
 Learning: trigram counts by language over all training documents (lang not null, crc32 of doc_id's text mod 4 not 2), as one Spark
 aggregation; the FEATURES most frequent trigrams per language go into the model, a table of bounded size.
@@ -15,12 +16,12 @@ a training row (its crc32 is that of no text) and not held out; very long texts
 
 from __future__ import annotations
 
-import re
 import sys
+import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +58,20 @@ def script_bits(codes: np.ndarray) -> np.ndarray:
     return _BITS[np.searchsorted(_BOUNDS, codes, side="right") - 1]
 
 
+#: A letter and the letters and marks behind it; marks without a letter before them (as behind emoji) are no words.
+WORD = r"(\p{L}[\p{L}\p{M}]*+)"
+
+
 def letter_words(text: Column) -> Column:
-    """Lower-case runs of letters (and marks) of a text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]++)"), F.lit(1))
+    """Lower-case words of a text; none of null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(1))
+
+
+def mark_table() -> np.ndarray:
+    """By code point, whether it is a mark: what else stands in a word is a letter."""
+    if "_quire_marks" not in sys.__dict__:
+        sys._quire_marks = np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
+    return sys._quire_marks
 
 
 def learn(docs: DataFrame, features: int = FEATURES) -> dict:
@@ -67,7 +79,7 @@ def learn(docs: DataFrame, features: int = FEATURES) -> dict:
 
     docs: (text, lang) of the training rows. Counts cover all of them.
     """
-    words = docs.where("lang is not null").select("lang", F.explode(letter_words(F.coalesce("text", F.lit("")))).alias("w"))
+    words = docs.where("lang is not null").select("lang", F.explode(letter_words(F.col("text"))).alias("w"))
     # Words are counted before they are cut up: the same few words make up most of a text.
     words = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
@@ -89,6 +101,8 @@ def learn(docs: DataFrame, features: int = FEATURES) -> dict:
         if r["g"] in place:
             table[place[r["g"]], i] = np.log((r["n"] + SMOOTH) / (totals[r["lang"]] + SMOOTH * features))
         for c in r["g"].strip("^$"):
+            if unicodedata.category(c)[0] == "M":  # accents stand in many scripts
+                continue
             bit = int(script_bits(np.array([ord(c)]))[0])
             scripts[i][bit] = scripts[i].get(bit, 0) + r["n"]
     used = np.array([sum(b for b, n in x.items() if n * 1000 >= sum(x.values())) for x in scripts], np.int64)
@@ -118,7 +132,7 @@ def score_words(words: list[str], model: dict) -> np.ndarray:
     row = np.minimum(np.searchsorted(model["keys"], key), max(len(model["keys"]) - 1, 0))
     row = np.where(model["keys"][row] == key, row, len(model["keys"])) if len(model["keys"]) else np.zeros(len(key), np.int64)
     score = np.add.reduceat(model["table"][row], first, axis=0)
-    own = np.bitwise_or.reduceat(script_bits(codes[at + 1]), first)[:, None]
+    own = np.bitwise_or.reduceat(np.where(mark_table()[codes[at + 1]], 0, script_bits(codes[at + 1])), first)[:, None]
     lacks = (own & ~model["scripts"]) != 0
     none = lacks.all(1)
     lacks[none] = ((own & model["scripts"]) == 0)[none]
@@ -164,7 +178,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 class Words:
-    """A model's scores of the words that a Python process remembers."""
+    """A model's scores, and the numbers of letters, of the words that a Python process remembers."""
 
     def __init__(self, model: dict):
         self.model, self.key = model, id(model)
@@ -173,6 +187,7 @@ class Words:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(self.model["languages"])), np.float32)
+        self.letters = np.zeros(1 << 12, np.int64)
 
     def codes(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
@@ -181,7 +196,11 @@ class Words:
             n = len(self.known)
             while n + len(new) > len(self.scores):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+                self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
             self.scores[n : n + len(new)] = score_words(new, self.model)
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            marks = mark_table()[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)]
+            self.letters[n : n + len(new)] = size - np.add.reduceat(marks, np.cumsum(size) - size, dtype=np.int64)
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
@@ -218,16 +237,15 @@ def single_language(scores: np.ndarray, lengths: np.ndarray, switch: float) -> n
     return np.where(most <= switch / 2, best, -1)
 
 
-def label_texts(texts: list[str], words: Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, letters, label) of each word; label 255 where no language is possible."""
-    find = sys.__dict__.setdefault("_quire_letters", re.compile(r"[^\W\d_]+")).findall
-    lists = [find(t.lower()) for t in texts]
-    flat = [w for x in lists for w in x]
-    owner = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
-    letters = np.fromiter(map(len, flat), np.int64, len(flat))
-    codes = words.codes(flat)
+def label_words(lists: pa.ListArray, words: Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, letters, label) of each word of the texts, given as lists of words; label 255 where no language is possible."""
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    # Each distinct word becomes a Python string once a batch.
+    flat = lists.flatten().dictionary_encode()
+    codes = words.codes(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+    letters = words.letters[codes]
     scores = words.scores[codes]
-    label = np.full(len(flat), 255, np.uint8)
+    label = np.full(len(codes), 255, np.uint8)
     if not scores.size:
         return owner, letters, label
     known = ~np.isnan(scores[:, 0])
@@ -243,43 +261,45 @@ def label_texts(texts: list[str], words: Words, switch: float = SWITCH) -> tuple
 
 
 def spans(text: str, model: dict, switch: float = SWITCH) -> list[tuple[int, int, str]]:
-    """(first word, last word, language) of a text's spans, words being runs of letters."""
-    _, _, label = label_texts([text], Words(model), switch)
+    """(first word, last word, language) of a text's spans."""
+    import regex
+
+    _, _, label = label_words(pa.array([regex.findall(WORD, text.lower())], pa.list_(pa.string())), Words(model), switch)
     cuts = [0, *(np.flatnonzero(np.diff(label.astype(int))) + 1), len(label)]
     return [(int(a), int(b) - 1, model["languages"][label[a]] if label[a] < 255 else "und") for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
+def main_languages(lists: pa.ListArray, words: Words, switch: float = SWITCH):
+    """(number of the main language, the number of languages for und; its share of the letters; spans) of some texts at a time."""
+    k = len(words.model["languages"])
+    upto = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(lists):
+        m = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, side="right")) - at)
+        owner, letters, label = label_words(lists.slice(at, m), words, switch)
+        weight = np.bincount(owner * (k + 1) + np.minimum(label, k), letters, m * (k + 1)).reshape(m, k + 1)
+        total = weight.sum(1)
+        top = weight[:, :k].argmax(1) if k else np.zeros(m, np.int64)
+        share = np.divide(weight[np.arange(m), top] if k else np.zeros(m), total, out=np.zeros(m), where=total > 0)
+        edges = np.concatenate(([True], (owner[1:] != owner[:-1]) | (label[1:] != label[:-1]))) if len(owner) else np.zeros(0, bool)
+        yield np.where(share > 0, top, k), share, np.bincount(owner[edges], minlength=m)
+        at += m
+
+
 def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score, n_spans) of each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES * FEATURES
 
     def run(batches):
-        model = shared.value
-        words = _remembered(model)
-        names = np.array([*model["languages"], "und"], dtype=object)
-        k = len(model["languages"])
+        words = _remembered(shared.value)
+        names = np.array([*words.model["languages"], "und"], dtype=object)
         for batch in batches:
-            ids, column = batch.column("doc_id"), batch.column("text")
-            texts = ["" if t is None else t for t in column.to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < STEP * 6):
-                    size += len(texts[upto])
-                    upto += 1
-                owner, letters, label = label_texts(texts[at:upto], words, switch)
-                m = upto - at
-                weight = np.bincount(owner * (k + 1) + np.minimum(label, k), letters, m * (k + 1)).reshape(m, k + 1)
-                total = weight.sum(1)
-                top = weight[:, :k].argmax(1) if k else np.zeros(m, np.int64)
-                share = np.divide(weight[np.arange(m), top] if k else np.zeros(m), total, out=np.zeros(m), where=total > 0)
-                top = np.where(share > 0, top, k)
-                edges = np.concatenate(([True], (owner[1:] != owner[:-1]) | (label[1:] != label[:-1]))) if len(owner) else np.zeros(0, bool)
-                n_spans = np.bincount(owner[edges], minlength=m)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, m), pa.array(names[top], pa.string()), pa.array(share, pa.float64()), pa.array(n_spans, pa.int64())], names=["doc_id", "lang_pred", "score", "n_spans"])
-                at = upto
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            ids, at = batch.column("doc_id"), 0
+            for top, share, n_spans in main_languages(batch.column("words"), words, switch):
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(top)), pa.array(names[top], pa.string()), pa.array(share, pa.float64()), pa.array(n_spans, pa.int64())], names=["doc_id", "lang_pred", "score", "n_spans"])
+                at += len(top)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), letter_words(F.col("text")).alias("words"))
     return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, n_spans bigint")
 
 
@@ -293,24 +313,14 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the texts that ``predict`` calls ``und``: no letters, or none of a possible language.
 
-    The decision is made beside the row, by a pandas function of the text, so that texts are neither joined nor shuffled.
+    The decision is made beside the row, by an Arrow function of the text's words, so that texts are neither joined nor shuffled.
     """
     model = learn(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def share(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        k = len(model["languages"])
-        found = []
-        values = ["" if t is None else t for t in texts]
-        words = _remembered(model)
-        for at in range(0, len(values), 1000):
-            owner, letters, label = label_texts(values[at : at + 1000], words)
-            m = len(values[at : at + 1000])
-            weight = np.bincount(owner * (k + 1) + np.minimum(label, k), letters, m * (k + 1)).reshape(m, k + 1)
-            total = weight.sum(1)
-            found.append(np.divide(weight[:, :k].max(1, initial=0), total, out=np.zeros(m), where=total > 0))
-        return pd.Series(np.concatenate(found) if found else np.zeros(0))
-
-    return docs.withColumn("q_share", share(F.col("text").cast("string"))).where("q_share > 0").drop("q_share")
+    @F.arrow_udf("boolean")
+    def identified(lists: pa.Array) -> pa.Array:
+        words = _remembered(shared.value)
+        return pa.array(np.concatenate([np.zeros(0, bool), *(share > 0 for _, share, _ in main_languages(lists, words))]), pa.bool_())
+
+    return docs.where(identified(letter_words(F.col("text"))))

@@ -291,6 +291,26 @@ def test_language_id(spark, nothing):
     assert [x[2] for x in mixed] == ["en", "de"]
 
 
+def test_words_of_letters_and_marks(spark):
+    """Learning and prediction cut the same words; only letters count; no letters, no language."""
+    import unicodedata
+
+    hindi, marathi = "यह हिन्दी भाषा में लिखा हुआ है और इसके शब्दों में मात्राएँ हैं", "ही मराठी भाषा आहे आणि तिच्यात लिहिलेले शब्द वेगळे आहेत"
+    nfd = unicodedata.normalize("NFD", "été après déjà où être élève forêt naïve là-bas ÉTÉ")
+    russian = unicodedata.normalize("NFD", "мой твой ёлка йод белый синий край май")
+    thai = "ที่นี่ภาษาไทย คนไทยพูดภาษาไทยที่บ้าน"
+    train = [(4 * 97 + i, t, x) for i, (t, x) in enumerate([(hindi, "hi"), (marathi, "mr"), (nfd, "fr"), (russian, "ru"), (thai, "th"), ("plain english words and more of them", "en")] * 30)]
+    odd = {-1: "हिन्दी भाषा", -2: "मराठी शब्द", -3: unicodedata.normalize("NFD", "élève été"), -4: "½ ²", -5: "Ⅷ ½", -6: "\u2764\ufe0f \u0301", -7: unicodedata.normalize("NFD", "белый край"), -8: "ที่นี่", -9: "हिन्दी \u13a0\u13a1\u13a2"}
+    rows = spark.createDataFrame(train + [(i, t, None) for i, t in odd.items()], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(rows).where("doc_id < 0").collect()}
+    assert got == {-1: ("hi", 1), -2: ("mr", 1), -3: ("fr", 1), -4: ("und", 0), -5: ("und", 0), -6: ("und", 0), -7: ("ru", 1), -8: ("th", 1), -9: ("hi", 0.5)}
+    assert {r["doc_id"] for r in language_id.drop_unidentified(rows).where("doc_id < 0").collect()} == {i for i, r in got.items() if r[0] != "und"}
+    model = language_id.learn(rows.select("text", "lang"))
+    learned = np.unique(language_id.score_words(["भाषा", "जजज"], model)[:, model["languages"].index("hi")])
+    assert len(learned) == 2
+    assert language_id.spans("हिन्दी भाषा", model) == [(0, 1, "hi")] and language_id.spans("½ ²", model) == []
+
+
 def test_mixed_languages_stay_in_the_pipeline(spark):
     """Only what op4 calls und goes: not three languages in one text, nor many letters of a script that training lacks."""
     import corpus_pipeline

@@ -13,14 +13,23 @@ Method
    documents share has long lists, but no node needs them.
 4. Overlaps, in rounds. In every list that still holds several components, each node is paired with the list's most
    typical node (whose retained values are the most common): n - 1 pairs for n nodes. After these rounds, nodes of
-   different components that share a list of at most HOT_LIST nodes are paired in full. The nodes of longer lists (a
-   large group of near copies and its stragglers) are joined on full sets by a prefix filter that knows both sizes: two
-   sets with an overlap of at least o share a shingle among the |a| - o + 1 rarest of a and the |b| - o + 1 rarest of b,
-   and SHARE of them among as many more; a straggler's own edits use these places up, so it isn't paired with the whole
-   group. Pairs are filtered by the
+   different components that share a list of at most HOT_LIST nodes are paired in full. Pairs are filtered by the
    sizes of the sets, then by the overlap of the sketches and the union-sketch estimate, then verified on full sets. A
    pair within one component changes nothing and is not tried.
-5. Full sets are computed again from the texts, for the nodes concerned only.
+5. Longer lists (a large group of near copies and its stragglers, or a passage that very many texts share):
+   - Each node a is reduced to its difference d(a) from the list's most typical node, its hub h: the shingles that one of the two
+     has and the other lacks. |d(a)| alone decides whether a and h are linked. As d(a) and d(b) differ exactly where
+     a and b do, a and b are linked when |d(a)| + |d(b)| - 2 |d(a) & d(b)| <= (|a| + |b|) / 9, that is, when the differences
+     share at least t(a, b) = e(a) + e(b) shingles, with e(a) = |d(a)| / 2 - |a| / 18. Where t <= 0, both are linked with h.
+   - So only nodes that aren't linked with h look for others, by a prefix filter on the differences: sets that share t elements share
+     one among the |d| - t + 1 rarest of each. Nodes meet by classes of e, so that t is known before they do.
+     Far from the hub t is large, and a straggler's own edits, which nobody shares, use all places up.
+   - Nodes whose difference is not small (over half of the hub) are joined on full sets by a prefix filter that knows
+     both sizes. Two linked nodes are both in the first join (up to the size of the hub) or both in the second.
+6. Full sets are computed again from the texts, for the nodes concerned only.
+
+``drop_near_copies`` keeps of each group the row with the smallest doc_id, null last, then the smallest digest of its text; rows
+are told apart by both, and of wholly repeated ones one stays.
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with nothing and are kept;
 texts with fewer words than the width have their whole sequence as the one shingle; wholly repeated rows have one
@@ -30,13 +39,15 @@ empty results; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import wordbytes as wb
-from quire.llm.common import Staging, checked_broadcast
+from quire.llm.common import Staging, checked_broadcast, released
 
 SKETCH = 48
 THRESHOLD = 80
@@ -48,8 +59,10 @@ HOT_LIST = 64
 SHARE = 3
 #: Ratio between the bounds of a size class.
 CLASS = 1.02
-#: Bytes of text whose shingles are made at once.
-STEP = 4 << 20
+#: Width of a class of e, as a part of the hub's size.
+CLASSES = 50
+#: Bytes of text whose shingles are made at once: some 60 times as much memory.
+STEP = 1 << 20
 
 
 def _steps(column: pa.Array):
@@ -95,20 +108,25 @@ def _lists(values: np.ndarray, bounds: np.ndarray, most: int | None = None) -> p
     return pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(values.view(np.int64)))
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) of each document."""
+def text_digest(docs: DataFrame) -> Column:
+    return F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+
+def sketches(docs: DataFrame, width: int, digest: bool = False) -> DataFrame:
+    """(doc_id, digest, n_shingles, node, sketch) of each document; the digest of its text is null unless asked for."""
 
     def make(batches):
         for batch in batches:
             for at, texts in _steps(batch.column("text")):
                 bounds, values = _shingles(texts, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(bounds), pa.int64()), _nodes(bounds, values), _lists(values, bounds, SKETCH)],
-                    names=["doc_id", "n_shingles", "node", "sketch"],
+                    [batch.column("doc_id").slice(at, len(texts)), batch.column("digest").slice(at, len(texts)), pa.array(np.diff(bounds), pa.int64()), _nodes(bounds, values), _lists(values, bounds, SKETCH)],
+                    names=["doc_id", "digest", "n_shingles", "node", "sketch"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, node binary, sketch array<bigint>")
+    named = (text_digest(docs) if digest else F.lit(None).cast("binary")).alias("digest")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), named, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(released(make), "doc_id bigint, digest binary, n_shingles bigint, node binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -121,7 +139,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_nodes(bounds, values), _lists(values, bounds)], names=["node", "members"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, "node binary, members array<bigint>").where("node is not null")
+    return rows.mapInArrow(released(make), "node binary, members array<bigint>").where("node is not null")
 
 
 def components(edges: DataFrame, stage: Staging) -> DataFrame:
@@ -184,11 +202,68 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
     return stage.table(sets.groupBy("node").agg(F.first("members").alias("members")), "sets", codec="uncompressed")
 
 
-def _hot_pairs(who: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
+def _links(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _around_hubs(hot: DataFrame, sets: DataFrame, stage: Staging) -> DataFrame:
+    """(hub, node, label, n, nh, d, diff): each node against the most typical node of each of its lists.
+
+    diff: the shingles that one of the two has and the other lacks; null where there are more than the hub has.
+    """
+    hubs = hot.groupBy("v").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"))
+    met = stage.table(hot.join(stage.table(hubs, "hubs"), "v").select("hub", "node", "label").distinct(), "met")
+    both = met.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("members").alias("of_hub")), "hub")
+    diff = F.concat(F.array_except("members", "of_hub"), F.array_except("of_hub", "members"))
+    out = both.select("hub", "node", "label", F.size("members").alias("n"), F.size("of_hub").alias("nh"), diff.alias("diff"))
+    out = out.withColumn("d", F.size("diff")).withColumn("diff", F.when(F.col("d") <= F.col("nh"), F.col("diff")))
+    return stage.table(out, "around", codec="uncompressed")
+
+
+def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
+    """The links (a, b) between nodes of different labels whose differences from a common hub are no larger than the hub.
+
+    Links with the hub itself, which join all nodes near it, come from the size of the difference.
+    """
+    with_hub = F.col("d") * (100 + THRESHOLD) <= (F.col("n") + F.col("nh")) * (100 - THRESHOLD)
+    direct = around.where(with_hub & (F.col("node") != F.col("hub"))).select(*_links(F.col("node"), F.col("hub")))
+    near = around.where("diff is not null")
+    if near.where(~with_hub).isEmpty():
+        return direct.distinct()
+    posting = near.select("hub", "node", F.explode("diff").alias("s"))
+    lists = stage.table(posting.groupBy("hub", "s").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    own = posting.join(lists, ["hub", "s"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    part = (100 - THRESHOLD) / (100 + THRESHOLD)
+    nears = near.select("hub", "node", "label", "n", "d", (~with_hub).alias("stray"), (F.col("d") / 2 - F.col("n") * part / 2).alias("e"), F.greatest(F.lit(1.0), F.col("nh") / CLASSES).alias("w"))
+    own = own.join(nears, ["hub", "node"]).withColumn("c", F.floor(F.col("e") / F.col("w")))
+    own = stage.table(own.withColumn("single", F.col("d") - F.size("x")), "own")
+    reach = F.col("n") * (part * 100 / THRESHOLD) + 1  # how far the e of two linked nodes can lie apart
+
+    def keys(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        at = rows.withColumn("o", F.explode(F.sequence(F.floor((F.col("e") - reach) / F.col("w")), F.floor((F.col("e") + reach) / F.col("w")))))
+        need = F.greatest(F.lit(1), F.ceil(F.col("e") + F.col("o") * F.col("w") - 1e-6))
+        places = (F.col("d") - need + 1 - F.col("single")).cast("int")
+        at = at.where(places > 0).select("hub", "node", "label", "n", "d", F.col("c").alias(mine), F.col("o").alias(other), "single", F.posexplode(F.slice("x.s", F.lit(1), places)).alias("i", "s"))
+        # rest: how many of the difference come at this place or later.
+        return at.withColumn("rest", F.col("d") - F.col("single") - F.col("i")).drop("single", "i")
+
+    x, y = keys(own.where("stray"), "cx", "cy").alias("x"), keys(own, "cy", "cx").alias("y")
+    met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.cx") == F.col("y.cx")) & (F.col("x.cy") == F.col("y.cy"))
+    size = F.col("x.n") + F.col("y.n")
+    fits = (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
+    fits &= (F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")) * (100 + THRESHOLD) <= size * (100 - THRESHOLD)
+    pairs = stage.table(x.join(y, met & fits).select(F.col("x.hub").alias("hub"), *_links(F.col("x.node"), F.col("y.node"))).distinct(), "near-hub")
+    side = lambda k: near.select("hub", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
+    both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    linked = both.where(apart * (100 + THRESHOLD) <= (F.col("na") + F.col("nb")) * (100 - THRESHOLD)).select("a", "b")
+    return direct.unionByName(linked).distinct()
+
+
+def _far_pairs(who: DataFrame, sets: DataFrame, stage: Staging) -> DataFrame:
     """Candidate pairs (a, b) of different labels among ``who`` (node, n, label), complete for the threshold."""
-    sets = _sets_of(who.select("node"), nodes, docs, width, stage)
     posting = sets.join(who, "node").select("node", "n", "label", F.explode("members").alias("s"))
-    lists = posting.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    lists = stage.table(posting.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     own = posting.join(lists, "s").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
     size_class = F.floor(F.log("n") / float(np.log(CLASS))).cast("int")
     steps = int(np.ceil(np.log(100 / THRESHOLD) / np.log(CLASS)))
@@ -217,7 +292,19 @@ def _hot_pairs(who: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, st
     fits &= ~F.arrays_overlap("x.before", "y.before")
     few = (F.col("x.n") + F.col("y.n")) * THRESHOLD < SHARE * (100 + THRESHOLD)
     fits &= few | (F.size(F.array_intersect("x.after", "y.after")) >= SHARE - 1)
-    return x.join(y, met & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return x.join(y, met & fits).select(*_links(F.col("x.node"), F.col("y.node")))
+
+
+def _hot_links(hot: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, stage: Staging) -> DataFrame:
+    """The links (a, b) between nodes of different labels that share a long list. hot: (v, node, n, pop, label)."""
+    sets = _sets_of(hot.select("node").distinct(), nodes, docs, width, stage)
+    around = _around_hubs(hot, sets, stage)
+    links = stage.table(_links_by_difference(around, stage), "hot-links")
+    far = stage.table(around.where(F.col("d") * 2 > F.col("nh")).select("node", "n", "label").distinct(), "far")
+    if not far.isEmpty():
+        pairs = stage.table(_far_pairs(far, sets, stage).distinct(), "far-pairs")
+        links = links.unionByName(_verified(pairs, sets))
+    return links
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, stage: Staging) -> DataFrame:
@@ -234,19 +321,22 @@ def _linked(likely: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, st
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(wanted, nodes, docs, width, stage)
-    both = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("sa")), "a")
+    links = stage.table(_verified(likely, sets), "links")
+    stage.drop(sets)
+    return links
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("members").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    links = stage.table(both.where(common * 100 >= union * THRESHOLD).select("a", "b"), "links")
-    stage.drop(sets)
-    return links
+    return both.where(common * 100 >= union * THRESHOLD).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    stage = Staging(docs.sparkSession, "near")
-    rows = stage.table(sketches(docs, width), "sketches")
+def near_classes(docs: DataFrame, width: int, stage: Staging, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, node) of each row, and (q_node, label, component_id) of each distinct set."""
+    rows = stage.table(sketches(docs, width, digest), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stage.table(nodes, "nodes")
     whole_rows, rows = rows, stage.table(rows.drop("sketch"), "rows")
@@ -282,32 +372,53 @@ def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
             apart = (F.col("x.v") == F.col("y.v")) & (F.col("x.label") < F.col("y.label"))
             pairs = x.join(y, apart & _similar_sizes(F.col("x.n"), F.col("y.n")))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            hot = stage.table(at.join(long_, "v", "left_semi").select("node", "n", "label").distinct(), "hot")
+            hot = stage.table(at.join(long_, "v", "left_semi"), "hot")
         pairs = stage.table(pairs.distinct(), "pairs")
         likely = _likely(pairs, nodes, stage)
+        found = [] if likely.isEmpty() else [_linked(likely, nodes, docs, width, stage)]
         if turn == ROUNDS and not hot.isEmpty():
-            # The prefix filter leaves hardly a pair that sketches could tell to be unlike.
-            likely = stage.table(likely.unionByName(_hot_pairs(hot, nodes, docs, width, stage)).distinct(), "likely")
-        if not likely.isEmpty():
-            found = _linked(likely, nodes, docs, width, stage)
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = components(links, stage)
+            found.append(stage.table(_hot_links(hot, nodes, docs, width, stage), "links"))
+        found = [x for x in found if not x.isEmpty()]
+        if found:
+            links = reduce(DataFrame.unionByName, found if links is None else [links, *found])
+            labels = components(links, stage)
     if labels is None:
-        classes = nodes.select("node", F.col("first_id").alias("component_id"))
+        classes = nodes.select("node", F.col("node").alias("label"), F.col("first_id").alias("component_id"))
     else:
-        whole = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        whole = stage.table(whole, "whole")
-        first = whole.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        classes = whole.join(first, "label").select("node", "component_id")
-    classes = stage.table(classes.withColumnRenamed("node", "q_node"), "classes")
+        # Only nodes with links are grouped. Staged on both sides, a join on the label of a large group can be split.
+        linked = stage.table(nodes.select("node", "first_id").join(labels, "node"), "linked")
+        first = stage.table(linked.groupBy("label").agg(F.min("first_id").alias("component_id")), "first")
+        linked = linked.join(checked_broadcast(first), "label").select("node", "label", "component_id")
+        alone = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"), F.col("first_id").alias("component_id"))
+        classes = linked.unionByName(alone)
+    return rows, stage.table(classes.withColumnRenamed("node", "q_node"), "classes")
+
+
+def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    rows, classes = near_classes(docs, width, Staging(docs.sparkSession, "near"))
     out = rows.join(classes, F.col("node") == F.col("q_node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with all its columns, one document of each group. Rows to drop are named by doc_id; ids must be unique."""
+    """``docs`` with all its columns, one row of each group. Rows are named by doc_id and a digest of their text."""
     stage = Staging(docs.sparkSession, "near-drop")
-    gone = stage.table(near_dedup(docs, width).where("not kept").select(F.col("doc_id").alias("q_id")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("q_id"), "left_anti")
+    rows, classes = near_classes(docs, width, stage, digest=True)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    named = rows.where("n_shingles > 0").join(classes, F.col("node") == F.col("q_node")).groupBy("label", name.alias("name")).agg(F.count("*").alias("n"))
+    named = stage.table(named, "named")
+    first = stage.table(named.groupBy("label").agg(F.min("name").alias("first")), "first")
+    out = named.join(first, "label").where((F.col("name") != F.col("first")) | (F.col("n") > 1))
+    gone = stage.table(out.select(F.col("name.doc_id").alias("q_id"), F.col("name.digest").alias("q_digest"), (F.col("name") == F.col("first")).alias("q_first")), "gone")
+    tied = lambda rows: F.col("doc_id").cast("bigint").eqNullSafe(F.col("q_id")) & (text_digest(rows) == F.col("q_digest"))
+    left = docs.join(checked_broadcast(gone.where("not q_first").drop("q_first")), tied(docs), "left_anti")
+    repeated = gone.where("q_first").drop("q_first")
+    if repeated.isEmpty():
+        return left
+    # Of wholly repeated rows that stay, one: only those are numbered.
+    once = left.join(checked_broadcast(repeated), tied(left), "left_anti")
+    several = left.join(checked_broadcast(repeated), tied(left), "left_semi").withColumn("q_digest", text_digest(left))
+    number = F.row_number().over(Window.partitionBy("doc_id", "q_digest").orderBy(F.lit(1)))
+    return once.unionByName(several.withColumn("q_rank", number).where("q_rank = 1").drop("q_rank", "q_digest"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at once; bounds the memory of one step whatever the texts' length.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def lower_table() -> np.ndarray:

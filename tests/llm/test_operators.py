@@ -130,8 +130,47 @@ def test_near_dedup(spark, docs, monkeypatch, hot):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def near_copies(seed, groups=3, n=60, size=70):
+    """Large groups of near copies, with stragglers about the threshold, and unlike texts that share a passage."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(groups):
+        base = [r.choice(words) for _ in range(size)]
+        for i in range(n):
+            ws = list(base)
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+                ws[r.randrange(size)] = r.choice(words[:40])
+            rows.append(" ".join(ws))
+    passage = " ".join(r.choice(words) for _ in range(30))
+    rows += [f"{' '.join(r.choice(words) for _ in range(r.randint(5, 90)))} {passage}" for _ in range(n)]
+    return [(i, t, "en", "s", 0) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("rounds", "width"), [(0, 2), (0, 5), (2, 2)])
+def test_near_dedup_of_large_groups(spark, monkeypatch, rounds, width):
+    monkeypatch.setattr(near_dedup, "HOT_LIST", 8)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    rows = near_copies(rounds + width)
+    want = brute_near(rows, width)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA), width).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
+    assert 10 < len({c for *_, c in want}) < 230
+
+
 def test_near_dedup_of_nothing(nothing):
     assert near_dedup.near_dedup(nothing, 2).count() == 0
+    assert near_dedup.drop_near_copies(nothing, 2).count() == 0
+
+
+def test_near_copies_are_dropped_row_by_row(spark):
+    """Rows that share an id or have none are told apart by their texts; of wholly repeated rows one stays."""
+    base = [f"w{i}" for i in range(40)]
+    a, near, other = " ".join(base), " ".join([*base[:-1], "x"]), "quite another text that is like none of them"
+    rows = [(1, a), (5, near), (5, other), (1, a), (None, near), (None, "an unlike row without any id at all"), (7, ""), (7, None), (8, a.upper())]
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("label", F.lit(0)).withColumn("digest", F.lit(1)), 2)
+    assert left.columns == ["doc_id", "text", "label", "digest"]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, a), (5, other), (None, "an unlike row without any id at all"), (7, ""), (7, None)], key=repr)
 
 
 def test_components(spark):
@@ -234,10 +273,10 @@ def test_packing_of_ranks():
     assert len(data) == 1 + 1 + 2 + 2 + 3 + 4 + 4 + 1 and len(control) == 2
 
 
-def test_sentencepieces(spark, docs):
+def test_sentencepieces(spark, docs, nothing):
     import public_tokenizers
 
-    p = sentencepieces.Pieces(public_tokenizers.path(sentencepieces.VOCABULARY))
+    p = sentencepieces.Vocabulary(public_tokenizers.path(sentencepieces.VOCABULARY))
     words = sorted({" word", " words", " wordy", "word", " ", "  x", " été", " 日本語", " ▁", " \x00a", " supercalifragilistic"})
     for word, ids in zip(words, p.segment_sorted(words), strict=True):
 
@@ -279,11 +318,11 @@ def test_viterbi_and_its_shortcut():
 
 def test_language_id(spark, nothing):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
-    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "12 34 !", "en", None, 0), (-3, "Привет", None, None, 0)], SCHEMA)
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "12 34 !", "en", None, 0), (-3, "Привет мир", None, None, 0), (-4, "", "en", None, 0), (-5, "½ ²", None, None, 0)], SCHEMA)
     got = language_id.identify_languages(table.unionByName(odd)).join(table.select(F.col("doc_id"), "lang"), "doc_id", "left").collect()
     held = [r for r in got if r["held_out"] and r["lang"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
-    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got if r["doc_id"] < 0} == {-1: ("und", 0), -2: ("und", 0), -3: ("und", 0)}
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got if r["doc_id"] < 0} == {-1: ("und", 0), -2: ("und", 0), -3: ("en", 0), -4: ("und", 0), -5: ("und", 0)}
     assert language_id.identify_languages(nothing).count() == 0
     model = language_id.learn(table.select("text", "lang"))
     by = {r["lang"]: r["text"] for r in table.where("length(text) > 400").select("lang", "text").collect()}
@@ -291,6 +330,19 @@ def test_language_id(spark, nothing):
     assert [x[2] for x in mixed] == ["en", "de"]
 
 
+def test_many_languages(spark):
+    """Over 256 languages, none left out; very long and repeated texts, clashing columns."""
+    letters = [chr(0x61 + i) for i in range(20)]
+    code = lambda i: f"{letters[i % 20]}{letters[i // 20 % 20]}{letters[i % 7]}{letters[i // 20 % 20]}{letters[i % 20]}"
+    rows = [(4 * k + i, f"{code(i)} " * 30, f"l{i:03}", None, 0) for i in range(300) for k in (10_000, 20_000, 30_000)]
+    rows += [(-1, f"{code(299)} " * 100_000, None, None, 0), (-2, f"{code(299)} " * 3, None, None, 0), (-2, f"{code(299)} " * 3, None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("words", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    got = language_id.identify_languages(docs).collect()
+    lang = {r[0]: r[2] for r in rows}
+    assert all(r["lang_pred"] == (lang[r["doc_id"]] or "l299") and r["score"] == 1 for r in got) and len(got) == len(rows)
+    assert language_id.drop_unidentified(docs).count() == len(rows)
+
+
 def test_words_of_letters_and_marks(spark):
     """Learning and prediction cut the same words; only letters count; no letters, no language."""
     import unicodedata
@@ -320,7 +372,7 @@ def test_mixed_languages_stay_in_the_pipeline(spark):
     for r in table.where("length(text) > 400 and lang is not null").orderBy("doc_id").collect():
         by.setdefault(r["lang"], re.findall(r"[^\W\d_]+", r["text"]))
     cut = lambda lang, n: " ".join(itertools.takewhile(lambda w, left=[n]: left.__setitem__(0, left[0] - len(w)) or left[0] >= 0, itertools.cycle(by[lang])))  # noqa: B006, E731
-    texts = {-1: f"{cut('en', 900)} {cut('de', 600)} {cut('fr', 500)}", -2: f"{cut('en', 300)} {'\u13a0\u13a1\u13a2\u13a3 ' * 90}", -3: "12 34 !", -4: "\u13a0\u13a1\u13a2", -5: None}
+    texts = {-1: f"{cut('en', 900)} {cut('de', 600)} {cut('fr', 500)}", -2: f"{cut('en', 300)} {'\u13a0\u13a1\u13a2\u13a3 ' * 90}", -3: "12 34 !", -4: "\u00bd", -5: None}
     rows = table.unionByName(spark.createDataFrame([(i, t, None, "odd", 0) for i, t in texts.items()], SCHEMA), allowMissingColumns=True)
     left = {r["doc_id"] for r in corpus_pipeline.language(spark, rows, DATA).collect()}
     op4 = {r["doc_id"]: r for r in language_id.identify_languages(rows).collect()}

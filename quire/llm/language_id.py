@@ -6,11 +6,13 @@ score per candidate is the sum of log-probabilities of its letter trigrams (with
 documents' counts. Viterbi over the words of a text, with a penalty for each change of language, labels spans; the
 language whose spans hold the most letters (marks don't count) is the prediction, its share of the letters the score.
 
-Learning: trigram counts by language over all training documents (lang not null, crc32 of doc_id's text mod 4 not 2), as one Spark
-aggregation; the FEATURES most frequent trigrams per language go into the model, a table of bounded size.
+Learning: trigram counts by language over all training documents (lang not null, crc32 of doc_id's text mod 4 not 2), in one Spark
+aggregation. Trigrams are counted under a hash of BUCKETS values, so that every one counts, no language is left out, and the
+model has a size known beforehand: half a megabyte a language, with four languages as with a thousand.
 
-Defined results: texts that are null, empty or without letters get ``und`` and score 0; so do letters of scripts that no learned
-language uses, and every text if nothing can be learned; ties go to the first language by code point; a null doc_id is
+Defined results: texts that are null, empty or without letters get ``und`` and score 0. A text with letters gets a learned
+language: if all its letters are of scripts that no learned language uses, the one with the most training words, with score 0;
+if nothing can be learned, ``und``. Ties go to the first language by code point; a null doc_id is
 a training row (its crc32 is that of no text) and not held out; very long texts are labelled whole; further columns are ignored.
 """
 
@@ -18,26 +20,27 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Staging
+from quire.llm import wordbytes as wb
+from quire.llm.common import released
 
-FEATURES = 20_000
-#: Languages that a model can hold; the most frequent ones of the training rows.
-LANGUAGES = 256
+#: Values of the trigrams' hash, a power of two.
+BUCKETS = 1 << 17
 #: Cost of a change of language between two words, in natural logarithms.
 SWITCH = 12.0
 #: Added to every count.
 SMOOTH = 0.5
-#: Words whose scores a Python process keeps.
-CACHE = 400_000
-#: Words labelled at once.
-STEP = 400_000
+#: Bytes of words and scores that a task remembers.
+CACHE = 32 << 20
+#: Scores (words by languages) that are labelled at once.
+STEP = 1 << 20
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -74,44 +77,54 @@ def mark_table() -> np.ndarray:
     return sys._quire_marks
 
 
-def learn(docs: DataFrame, features: int = FEATURES) -> dict:
-    """The model: languages, trigram -> log-probabilities, scripts of each language. Bounded by LANGUAGES and ``features``.
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each trigram, code point of each letter or mark, first place of each word): a word has as many of either."""
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size) - size
+    # The trigrams of a word begin at its mark and at all of its letters but the last.
+    at = np.repeat(np.cumsum(size + 2) - size - 2 - first, size) + np.arange(int(size.sum()))
+    key = codes[at] << np.uint64(42) | codes[at + 1] << np.uint64(21) | codes[at + 2]
+    return (wb.mix(key) & np.uint64(BUCKETS - 1)).astype(np.int64), codes[at + 1].astype(np.int64), first
+
 
-    docs: (text, lang) of the training rows. Counts cover all of them.
+def learn(docs: DataFrame) -> dict:
+    """The model: languages, log-probabilities by bucket and language, scripts of each language, the one with the most words.
+
+    docs: (text, lang) of the training rows. Counts cover all of them; as many numbers as BUCKETS reach the driver per language.
     """
     words = docs.where("lang is not null").select("lang", F.explode(letter_words(F.col("text"))).alias("w"))
     # Words are counted before they are cut up: the same few words make up most of a text.
     words = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
-    marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
-    grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("w")), lambda i: F.substr(marked, i, F.lit(3)))).alias("g"))
-    grams = grams.groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    grams = Staging(docs.sparkSession, "language").table(grams, "grams")
-    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))
-    rows = grams.where(F.col("lang").isin(list(totals))).withColumn("r", best).where(F.col("r") <= features).collect() if totals else []
-    languages = sorted(totals)
-    at = {x: i for i, x in enumerate(languages)}
-    unseen = np.array([np.log(SMOOTH / (totals[x] + SMOOTH * features)) for x in languages], np.float32)
-    found = sorted({r["g"] for r in rows if len(r["g"]) == 3}, key=lambda g: [ord(c) for c in g])
-    place = {g: i for i, g in enumerate(found)}
-    table = np.tile(unseen, (len(found) + 1, 1))  # the last row stands for trigrams that aren't in the model
-    scripts = [{} for _ in languages]
-    for r in rows:
-        i = at[r["lang"]]
-        if r["g"] in place:
-            table[place[r["g"]], i] = np.log((r["n"] + SMOOTH) / (totals[r["lang"]] + SMOOTH * features))
-        for c in r["g"].strip("^$"):
-            if unicodedata.category(c)[0] == "M":  # accents stand in many scripts
-                continue
-            bit = int(script_bits(np.array([ord(c)]))[0])
-            scripts[i][bit] = scripts[i].get(bit, 0) + r["n"]
-    used = np.array([sum(b for b, n in x.items() if n * 1000 >= sum(x.values())) for x in scripts], np.int64)
-    keys = _trigrams(np.array([[ord(c) for c in g] for g in found], np.int64).reshape(-1, 3).T)
-    return {"languages": languages, "keys": keys, "table": table, "scripts": used}
-
-
-def _trigrams(codes) -> np.ndarray:
-    return codes[0] << 42 | codes[1] << 21 | codes[2]
+
+    def count(batches):
+        for batch in batches:
+            for lang, rows in pa.Table.from_batches([batch]).to_pandas().groupby("lang"):
+                bucket, code, first = grams(rows["w"].tolist())
+                each = np.repeat(rows["n"].to_numpy(), np.diff(np.append(first, len(code))))
+                script = np.where(mark_table()[code], -1, -2 - np.searchsorted(_BOUNDS, code, side="right"))  # marks stand in many scripts
+                kinds, place = np.unique(np.concatenate((bucket, script)), return_inverse=True)
+                sums = np.bincount(place, np.concatenate((each, each))).astype(np.int64)
+                total = np.array([rows["n"].sum()])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(kinds) + 1), pa.string()), pa.array(np.append(kinds, BUCKETS), pa.int64()), pa.array(np.append(sums, total), pa.int64())], names=["lang", "kind", "n"])
+
+    counted = words.mapInArrow(released(count), "lang string, kind bigint, n bigint").groupBy("lang", "kind").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(set(counted["lang"]))
+    of = counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
+    kind, n = counted["kind"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+    table = np.zeros((BUCKETS, len(languages)), np.float32)
+    gram = (kind >= 0) & (kind < BUCKETS)
+    table[kind[gram], of[gram]] = n[gram]
+    totals = table.sum(0, dtype=np.float64)
+    np.log((table + SMOOTH) / (totals + SMOOTH * BUCKETS), out=table, casting="same_kind")
+    scripts, most = np.zeros(len(languages), np.int64), np.zeros(len(languages), np.int64)
+    most[of[kind == BUCKETS]] = n[kind == BUCKETS]
+    letters = np.bincount(of[kind < -1], n[kind < -1], len(languages))
+    used = np.zeros((len(languages), len(_NAMES)))
+    np.add.at(used, (of[kind < -1], np.array([_NAMES.index(SCRIPTS[-3 - k][1]) for k in kind[kind < -1]], np.int64)), n[kind < -1])
+    for i in range(len(languages)):
+        scripts[i] = sum(1 << j for j in np.flatnonzero((used[i] > 0) & (used[i] * 1000 >= letters[i])))
+    return {"languages": languages, "table": table, "scripts": scripts, "main": int(most.argmax()) if languages else 0}
 
 
 def score_words(words: list[str], model: dict) -> np.ndarray:
@@ -122,17 +135,9 @@ def score_words(words: list[str], model: dict) -> np.ndarray:
     """
     if not words or not model["languages"]:
         return np.full((len(words), len(model["languages"])), np.nan, np.float32)
-    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le"), np.uint32).astype(np.int64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    begin = np.cumsum(size + 2) - size - 2
-    # The trigrams of a word begin at its mark and at all of its letters but the last.
-    first = np.cumsum(size) - size
-    at = np.repeat(begin - first, size) + np.arange(int(size.sum()))
-    key = _trigrams((codes[at], codes[at + 1], codes[at + 2]))
-    row = np.minimum(np.searchsorted(model["keys"], key), max(len(model["keys"]) - 1, 0))
-    row = np.where(model["keys"][row] == key, row, len(model["keys"])) if len(model["keys"]) else np.zeros(len(key), np.int64)
-    score = np.add.reduceat(model["table"][row], first, axis=0)
-    own = np.bitwise_or.reduceat(np.where(mark_table()[codes[at + 1]], 0, script_bits(codes[at + 1])), first)[:, None]
+    bucket, code, first = grams(words)
+    score = np.add.reduceat(model["table"][bucket], first, axis=0)
+    own = np.bitwise_or.reduceat(np.where(mark_table()[code], 0, script_bits(code)), first)[:, None]
     lacks = (own & ~model["scripts"]) != 0
     none = lacks.all(1)
     lacks[none] = ((own & model["scripts"]) == 0)[none]
@@ -151,7 +156,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     starts = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
-    back = np.empty((n, k), np.uint8)
+    kind = np.min_scalar_type(max(k - 1, 0))
+    back = np.empty((n, k), kind)
     best = np.zeros((len(sizes), k), np.float32)
     rows = np.arange(len(sizes))
     for t, m in enumerate(active):
@@ -160,14 +166,14 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
         if t:
             top = v.argmax(1)
             stay = v >= (v[rows[:m], top] - switch)[:, None]
-            back[at] = np.where(stay, np.arange(k, dtype=np.uint8), top.astype(np.uint8)[:, None])
+            back[at] = np.where(stay, np.arange(k, dtype=kind), top.astype(kind)[:, None])
             v = np.where(stay, v, (v[rows[:m], top] - switch)[:, None])
             best[:m] = v + scores[at]
             best[:m] -= best[:m].max(1, keepdims=True)  # keeps long texts within single precision
         else:
             best[:m] = scores[at]
-    label = np.zeros(n, np.uint8)
-    now = best.argmax(1).astype(np.uint8)
+    label = np.zeros(n, np.int64)
+    now = best.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
         at = starts[:m] + t
@@ -178,19 +184,20 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 class Words:
-    """A model's scores, and the numbers of letters, of the words that a Python process remembers."""
+    """A model's scores, and the numbers of letters, of the words that a task remembers."""
 
     def __init__(self, model: dict):
-        self.model, self.key = model, id(model)
+        self.model = model
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((1 << 12, len(self.model["languages"])), np.float32)
         self.letters = np.zeros(1 << 12, np.int64)
 
     def codes(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.forget()
         if new := list(set(words).difference(self.known)):
             n = len(self.known)
@@ -199,19 +206,14 @@ class Words:
                 self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
             self.scores[n : n + len(new)] = score_words(new, self.model)
             size = np.fromiter(map(len, new), np.int64, len(new))
-            marks = mark_table()[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)]
+            marks = mark_table()[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)]
             self.letters[n : n + len(new)] = size - np.add.reduceat(marks, np.cumsum(size) - size, dtype=np.int64)
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
+            # A string and its place in the dictionary take some 150 bytes besides its characters.
+            self.held += len(new) * (150 + 8 + 4 * self.scores.shape[1]) + 2 * int(size.sum())
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
-def _remembered(model: dict) -> Words:
-    held = sys.__dict__.get("_quire_language_words")
-    if held is None or held.model is not model:
-        held = sys._quire_language_words = Words(model)
-    return held
-
-
 def single_language(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """Per text the language that labels all of its words, or -1 where Viterbi has to decide.
 
@@ -238,21 +240,21 @@ def single_language(scores: np.ndarray, lengths: np.ndarray, switch: float) -> n
 
 
 def label_words(lists: pa.ListArray, words: Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, letters, label) of each word of the texts, given as lists of words; label 255 where no language is possible."""
+    """(text number, letters, label) of each word of the texts, given as lists of words; label -1 where no language is possible."""
     owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     # Each distinct word becomes a Python string once a batch.
     flat = lists.flatten().dictionary_encode()
     codes = words.codes(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
     letters = words.letters[codes]
     scores = words.scores[codes]
-    label = np.full(len(codes), 255, np.uint8)
+    label = np.full(len(codes), -1, np.int64)
     if not scores.size:
         return owner, letters, label
     known = ~np.isnan(scores[:, 0])
     rows, of = np.maximum(scores[known], np.float32(-1e4)), owner[known]
     lengths = np.bincount(of, minlength=len(lists))
     whole = single_language(rows, lengths, switch)
-    out = whole[of].astype(np.uint8)
+    out = whole[of]
     hard = whole[of] < 0
     if hard.any():
         out[hard] = viterbi(rows[hard], np.where(whole < 0, lengths, 0), switch)
@@ -265,33 +267,38 @@ def spans(text: str, model: dict, switch: float = SWITCH) -> list[tuple[int, int
     import regex
 
     _, _, label = label_words(pa.array([regex.findall(WORD, text.lower())], pa.list_(pa.string())), Words(model), switch)
-    cuts = [0, *(np.flatnonzero(np.diff(label.astype(int))) + 1), len(label)]
-    return [(int(a), int(b) - 1, model["languages"][label[a]] if label[a] < 255 else "und") for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    cuts = [0, *(np.flatnonzero(np.diff(label)) + 1), len(label)]
+    return [(int(a), int(b) - 1, model["languages"][label[a]] if label[a] >= 0 else "und") for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def main_languages(lists: pa.ListArray, words: Words, switch: float = SWITCH):
-    """(number of the main language, the number of languages for und; its share of the letters; spans) of some texts at a time."""
+    """(number of the main language, the number of languages for und; its share of the letters; spans) of some texts at a time.
+
+    As many texts at a time as STEP allows, or one longer than that.
+    """
     k = len(words.model["languages"])
-    upto = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    upto = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    step = max(1, STEP // max(1, k))
     at = 0
     while at < len(lists):
-        m = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, side="right")) - at)
+        m = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, side="right")) - at)
         owner, letters, label = label_words(lists.slice(at, m), words, switch)
-        weight = np.bincount(owner * (k + 1) + np.minimum(label, k), letters, m * (k + 1)).reshape(m, k + 1)
+        weight = np.bincount(owner * (k + 1) + np.where(label < 0, k, label), letters, m * (k + 1)).reshape(m, k + 1)
         total = weight.sum(1)
         top = weight[:, :k].argmax(1) if k else np.zeros(m, np.int64)
         share = np.divide(weight[np.arange(m), top] if k else np.zeros(m), total, out=np.zeros(m), where=total > 0)
         edges = np.concatenate(([True], (owner[1:] != owner[:-1]) | (label[1:] != label[:-1]))) if len(owner) else np.zeros(0, bool)
-        yield np.where(share > 0, top, k), share, np.bincount(owner[edges], minlength=m)
+        best = np.where(share > 0, top, np.where(total > 0, words.model["main"], k)) if k else np.full(m, k)
+        yield best, share, np.bincount(owner[edges], minlength=m)
         at += m
 
 
 def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score, n_spans) of each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES * FEATURES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 * BUCKETS bytes a language
 
     def run(batches):
-        words = _remembered(shared.value)
+        words = Words(shared.value)
         names = np.array([*words.model["languages"], "und"], dtype=object)
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
@@ -300,7 +307,7 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 at += len(top)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), letter_words(F.col("text")).alias("words"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, n_spans bigint")
+    return rows.mapInArrow(released(run), "doc_id bigint, lang_pred string, score double, n_spans bigint")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
@@ -311,16 +318,20 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the texts that ``predict`` calls ``und``: no letters, or none of a possible language.
+    """``docs`` with all its columns, without the texts that ``predict`` calls ``und``: those without letters.
 
     The decision is made beside the row, by an Arrow function of the text's words, so that texts are neither joined nor shuffled.
     """
     model = learn(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def labelled(batches):
+        words = Words(shared.value)
+        for lists in batches:
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(top < len(words.model["languages"]) for top, _, _ in main_languages(lists, words))]), pa.bool_())
+
     @F.arrow_udf("boolean")
-    def identified(lists: pa.Array) -> pa.Array:
-        words = _remembered(shared.value)
-        return pa.array(np.concatenate([np.zeros(0, bool), *(share > 0 for _, share, _ in main_languages(lists, words))]), pa.bool_())
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(labelled)(batches)
 
     return docs.where(identified(letter_words(F.col("text"))))

@@ -6,8 +6,10 @@ the others until none is above.
 
 Document counts: a document's expected copies are target / source size. The whole part is taken for certain. For the
 rest, documents are ranked by random odds over inclusion odds (u / (1-u)) / (p / (1-p)), p the fractional part, and the
-smallest ranks are taken up to the remaining words of the source. Last, of the documents not taken, the one whose size
-fits the gap best is taken if that brings the source nearer to its target.
+smallest ranks are taken up to the remaining words of the source. (p is one number in a source, as all its words weigh alike;
+between sources it differs.) Last, of the documents not taken, the one whose size
+fits the gap best is taken if that brings the source nearer to its target: one document a source at most, which
+is chosen by size and not by chance, so that its inclusion probability is a little above p and that of the others p.
 
 The boundary is found by a radix descent on the rank: two aggregations by (source, 12-bit bucket), then an ordered
 window over the rows of one bucket of the second level. So a source with a third of all rows is never ordered in one
@@ -37,8 +39,12 @@ def word_count(text: Column) -> Column:
 
 
 def sized() -> list[Column]:
-    """doc_id, source, size, u, tie of a row: u in (0, 1) is drawn from a digest of doc_id; tie tells texts apart."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 12), 16, 10)
+    """doc_id, source, size, u, tie of a row: u in (0, 1) is drawn from a digest of doc_id; tie tells texts apart.
+
+    Rows without a doc_id draw by a digest of their text, so that they don't all meet in one bucket of the rank.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.md5(text_or_empty().cast("string"))))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "|"), name)), 1, 12), 16, 10)
     return [
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),

@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by Viterbi over shared prefixes.
 
 A text is marked as the SentencePiece format does it: one blank before it, blanks written as the piece mark. Marked words are runs of
-blanks with what follows them. The distinct words of a batch, those that the process doesn't remember, are sorted, which
+blanks with what follows them. The distinct words of a batch, those that the task doesn't remember, are sorted, which
 lays them out as a trie in depth-first order: the forward scores of a word's characters are kept on a stack, and the next word takes
 over those of the prefix that both share. The best segmentation of each word follows from the back pointers.
 
-Pieces and ids come from a vocabulary file. Its scores are ranks (it was made by merging), not probabilities; they are read as Zipf's law has
-them, log p = -log(rank + 1), up to a constant. Characters without a piece are spelled by byte pieces; so is the
+Pieces and ids come from a vocabulary file; vocabularies are not trained here, and so neither are their scores. Those of the
+file are ranks (it was made by merging), not probabilities; they are read as Zipf's law has them, log p = -log(rank + 1), up to a constant. Characters without a piece are spelled by byte pieces; so is the
 mark itself where a text holds it as a character, and so decoding gives back every text exactly.
 
 Defined results: null and empty texts have no pieces; among equally good segmentations the one whose last piece is longer wins, from the end to the
@@ -26,17 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import released
+
 VOCABULARY = "piece_bpe_32k.model"
 #: Score of a byte piece: below that of every other piece.
 BYTE = -16.0
-WORDS = 600_000
+#: Bytes of words and their ids that a task remembers.
+CACHE = 48 << 20
 #: Characters of text encoded at once.
-STEP = 1 << 22
+STEP = 1 << 19
 MARK = "▁"
 
 
-class Pieces:
-    """A vocabulary and the remembered segmentations of marked words."""
+class Vocabulary:
+    """Pieces, their scores and ids."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,11 +60,6 @@ class Pieces:
                 ranked.append((-model.get_score(i), i, piece.replace(MARK, " ")))
         self.score = {piece: (-math.log(rank + 1), i) for rank, (_, i, piece) in enumerate(sorted(ranked), 1)}
         self.longest = max(map(len, self.score), default=1)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.size, self.store = [], [], []
 
     def segment_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of each word's best segmentation. words: sorted; shared prefixes are scored once."""
@@ -99,46 +97,66 @@ class Pieces:
             last = word
         return out
 
+    def decode(self, ids) -> str:
+        """The text of ids: pieces and bytes as they stand, without the blank in front."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+class Pieces:
+    """A vocabulary and the segmentations of marked words that a task remembers."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.decode = vocabulary, vocabulary.decode
+        self.split = re.compile(r" *[^ ]+| +").findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = self.used = 0
+        self.start, self.size, self.store = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        found = self.vocabulary.segment_sorted(words)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        n, total = len(self.known), int(size.sum())
+        while n + len(words) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + total > len(self.store):
+            self.store = np.resize(self.store, 2 * len(self.store))
+        at = slice(n, n + len(words))
+        self.start[at], self.size[at] = self.used + np.cumsum(size) - size, size
+        self.store[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.used += total
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        # A string and its place in the dictionary take some 150 bytes besides its characters.
+        self.held += len(words) * 166 + 2 * sum(map(len, words)) + 4 * total
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > WORDS:
+        if self.held > CACHE:
             self.forget()
-        split = sys.__dict__.setdefault("_quire_marked_words", re.compile(r" *[^ ]+| +")).findall
-        lists = [split(" " + t) if t else [] for t in texts]
+        lists = [self.split(" " + t) if t else [] for t in texts]
         flat = [w for x in lists for w in x]
-        new = sorted(set(flat).difference(self.known))
-        if new:
-            found = self.segment_sorted(new)
-            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.size += map(len, found)
-            self.store += (i for x in found for i in x)
-            self.arrays = None
-        if self.__dict__.get("arrays") is None:
-            size = np.array(self.size, np.int64)
-            self.arrays = (np.cumsum(size) - size, size, np.array(self.store, np.uint32))
-        start, size, store = self.arrays
+        if new := sorted(set(flat).difference(self.known)):
+            self._learn(new)
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        own = size[codes] if len(codes) else np.zeros(0, np.int64)
+        own = self.size[codes]
         upto = np.cumsum(own)
-        place = np.repeat(start[codes] - (upto - own), own) + np.arange(int(upto[-1])) if len(codes) else np.zeros(0, np.int64)
-        ids = store[place] if len(place) else np.zeros(0, np.uint32)
+        ids = self.store[np.repeat(self.start[codes] - (upto - own), own) + np.arange(int(own.sum()))]
         ends = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def decode(self, ids) -> str:
-        """The text of ids: pieces and bytes as they stand, without the blank in front."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
-
 
 def _pieces(path: str | None) -> Pieces:
+    """An empty memory over the process's vocabulary: reading that takes longer than a small task."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     kept = sys.__dict__.setdefault("_quire_pieces", {})
     if path not in kept:
-        kept[path] = Pieces(path)
-    return kept[path]
+        kept[path] = Vocabulary(path)
+    return Pieces(kept[path])
 
 
 def _batches(column: pa.Array):
@@ -167,7 +185,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return rows.mapInArrow(released(run), "doc_id bigint, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -179,7 +197,7 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [pieces.decode(x) if x else "" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id bigint, text string")
 
 
 def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -195,4 +213,4 @@ def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array([len(x) for x in found], pa.int64()), pa.array(crc, pa.int64()), pa.array(exact)], names=["doc_id", "n_pieces", "ids_crc32", "exact"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, exact boolean")
+    return rows.mapInArrow(released(run), "doc_id bigint, n_pieces bigint, ids_crc32 bigint, exact boolean")

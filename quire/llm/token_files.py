@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Staging, checked_broadcast, partitions
+from quire.llm.common import Staging, checked_broadcast, partitions, released
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -220,7 +220,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 at = upto
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(released(run), "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -250,7 +250,7 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.select("ids").mapInArrow(released(count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r["id"] for r in rows.orderBy(F.desc("n"), "id").collect()], np.uint32)
 
 
@@ -290,7 +290,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None) -> Non
             yield close()
 
     ordered = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    written = ordered.mapInArrow(blocks, "part bigint, block bigint, tokens bigint, doc_ids array<bigint>, counts binary, control binary, data binary")
+    written = ordered.mapInArrow(released(blocks), "part bigint, block bigint, tokens bigint, doc_ids array<bigint>, counts binary, control binary, data binary")
     written.write.option("compression", "zstd").parquet(f"{out}/blocks")
     stage.drop(tokens)
 
@@ -319,7 +319,7 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + edge[:-1], pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = blocks.join(checked_broadcast(starts), ["part", "block"]).select("first", "doc_ids", "counts", "control", "data")
-    return placed.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.mapInArrow(released(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:

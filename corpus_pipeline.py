@@ -3,13 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs. All but the last
 return the columns of documents.
 
-- language: drops texts of which no learned language holds half of the letters (and those without letters).
+- language: drops texts in which no language can be told, those without letters.
 - exact: keeps the row with the largest doc_id of each group of equal texts.
 - near: keeps the document with the smallest doc_id of each group of near copies (five-word shingles, 0.8).
 - mix: each document as many times as the source mix takes it.
 - pieces: doc_id, the SentencePiece ids of each text and their number.
 
 SQL cannot express the learned and sketched stages; tests hold each stage against a brute-force version.
+
+Defined results: a null text is an empty one, which has no letters and goes in the first stage, as do texts of digits or marks alone; a
+null doc_id never wins over another one, and such rows are told apart by their texts; rows that share an id but not a text are
+documents of their own; of wholly repeated rows one stays; without labelled languages no text is identified and
+all go; a null source is a source of its own; very long texts are treated whole; empty tables give empty results; further columns are carried along to
+the last stage, whatever their names (those that begin with q_ are taken).
 """
 
 from __future__ import annotations

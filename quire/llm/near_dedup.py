@@ -22,7 +22,8 @@ Method
      a and b do, a and b are linked when |d(a)| + |d(b)| - 2 |d(a) & d(b)| <= (|a| + |b|) / 9, that is, when the differences
      share at least t(a, b) = e(a) + e(b) shingles, with e(a) = |d(a)| / 2 - |a| / 18. Where t <= 0, both are linked with h.
    - So only nodes that aren't linked with h look for others, by a prefix filter on the differences: sets that share t elements share
-     one among the |d| - t + 1 rarest of each. Nodes meet by classes of e, so that t is known before they do.
+     one among the first |d| - t + 1 of each, in one order for all: the shingles that h lacks by rarity (a shingle that no
+     other node adds uses up a place, but meets nobody), then those that h has. Nodes meet by classes of e, so that t is known before they do.
      Far from the hub t is large, and a straggler's own edits, which nobody shares, use all places up.
    - Nodes whose difference is not small (over half of the hub) are joined on full sets by a prefix filter that knows
      both sizes. Two linked nodes are both in the first join (up to the size of the hub) or both in the second.
@@ -207,16 +208,16 @@ def _links(a: Column, b: Column) -> list[Column]:
 
 
 def _around_hubs(hot: DataFrame, sets: DataFrame, stage: Staging) -> DataFrame:
-    """(hub, node, label, n, nh, d, diff): each node against the most typical node of each of its lists.
+    """(hub, node, label, n, nh, d, added, lacks): each node against the most typical node of each of its lists.
 
-    diff: the shingles that one of the two has and the other lacks; null where there are more than the hub has.
+    added, lacks: the shingles that the node has and the hub lacks, and the reverse; null where these are more than the hub has.
     """
     hubs = hot.groupBy("v").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"))
     met = stage.table(hot.join(stage.table(hubs, "hubs"), "v").select("hub", "node", "label").distinct(), "met")
     both = met.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("members").alias("of_hub")), "hub")
-    diff = F.concat(F.array_except("members", "of_hub"), F.array_except("of_hub", "members"))
-    out = both.select("hub", "node", "label", F.size("members").alias("n"), F.size("of_hub").alias("nh"), diff.alias("diff"))
-    out = out.withColumn("d", F.size("diff")).withColumn("diff", F.when(F.col("d") <= F.col("nh"), F.col("diff")))
+    out = both.select("hub", "node", "label", F.size("members").alias("n"), F.size("of_hub").alias("nh"), F.array_except("members", "of_hub").alias("added"), F.array_except("of_hub", "members").alias("lacks"))
+    out = out.withColumn("d", F.size("added") + F.size("lacks"))
+    out = out.withColumns({k: F.when(F.col("d") <= F.col("nh"), F.col(k)) for k in ("added", "lacks")})
     return stage.table(out, "around", codec="uncompressed")
 
 
@@ -227,23 +228,24 @@ def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
     """
     with_hub = F.col("d") * (100 + THRESHOLD) <= (F.col("n") + F.col("nh")) * (100 - THRESHOLD)
     direct = around.where(with_hub & (F.col("node") != F.col("hub"))).select(*_links(F.col("node"), F.col("hub")))
-    near = around.where("diff is not null")
+    near = around.where("added is not null")
     if near.where(~with_hub).isEmpty():
         return direct.distinct()
-    posting = near.select("hub", "node", F.explode("diff").alias("s"))
+    posting = near.select("hub", "node", F.explode("added").alias("s"))
     lists = stage.table(posting.groupBy("hub", "s").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    own = posting.join(lists, ["hub", "s"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    own = posting.join(lists, ["hub", "s"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("x"))
     part = (100 - THRESHOLD) / (100 + THRESHOLD)
-    nears = near.select("hub", "node", "label", "n", "d", (~with_hub).alias("stray"), (F.col("d") / 2 - F.col("n") * part / 2).alias("e"), F.greatest(F.lit(1.0), F.col("nh") / CLASSES).alias("w"))
-    own = own.join(nears, ["hub", "node"]).withColumn("c", F.floor(F.col("e") / F.col("w")))
-    own = stage.table(own.withColumn("single", F.col("d") - F.size("x")), "own")
+    nears = near.select("hub", "node", "label", "n", "d", "added", "lacks", (~with_hub).alias("stray"), (F.col("d") / 2 - F.col("n") * part / 2).alias("e"), F.greatest(F.lit(1.0), F.col("nh") / CLASSES).alias("w"))
+    own = nears.join(own, ["hub", "node"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<bigint>")))
+    own = own.withColumn("single", F.size("added") - F.size("x")).withColumn("x", F.concat("x", F.sort_array("lacks"))).drop("added", "lacks")
+    own = stage.table(own.withColumn("c", F.floor(F.col("e") / F.col("w"))), "own", codec="uncompressed")
     reach = F.col("n") * (part * 100 / THRESHOLD) + 1  # how far the e of two linked nodes can lie apart
 
     def keys(rows: DataFrame, mine: str, other: str) -> DataFrame:
         at = rows.withColumn("o", F.explode(F.sequence(F.floor((F.col("e") - reach) / F.col("w")), F.floor((F.col("e") + reach) / F.col("w")))))
         need = F.greatest(F.lit(1), F.ceil(F.col("e") + F.col("o") * F.col("w") - 1e-6))
         places = (F.col("d") - need + 1 - F.col("single")).cast("int")
-        at = at.where(places > 0).select("hub", "node", "label", "n", "d", F.col("c").alias(mine), F.col("o").alias(other), "single", F.posexplode(F.slice("x.s", F.lit(1), places)).alias("i", "s"))
+        at = at.where(places > 0).select("hub", "node", "label", "n", "d", F.col("c").alias(mine), F.col("o").alias(other), "single", F.posexplode(F.slice("x", F.lit(1), places)).alias("i", "s"))
         # rest: how many of the difference come at this place or later.
         return at.withColumn("rest", F.col("d") - F.col("single") - F.col("i")).drop("single", "i")
 
@@ -253,7 +255,7 @@ def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
     fits = (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
     fits &= (F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")) * (100 + THRESHOLD) <= size * (100 - THRESHOLD)
     pairs = stage.table(x.join(y, met & fits).select(F.col("x.hub").alias("hub"), *_links(F.col("x.node"), F.col("y.node"))).distinct(), "near-hub")
-    side = lambda k: near.select("hub", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
+    side = lambda k: near.select("hub", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.concat("added", "lacks").alias(f"d{k}"))
     both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     linked = both.where(apart * (100 + THRESHOLD) <= (F.col("na") + F.col("nb")) * (100 - THRESHOLD)).select("a", "b")

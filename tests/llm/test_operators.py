@@ -400,6 +400,15 @@ def test_toxicity(spark, nothing):
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.7) for x in got.values()) and got[1000]["predicted"] == got[1001]["predicted"] == 0
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1) for x in got.values())
     assert {x["score"] for x in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.score_toxicity(nothing, labels).count() == 0
+    # Far into a very long text, on repeated rows, beside columns of other names.
+    late = " ".join(r.choice(plain) for _ in range(30_000)) + " gruzzle snarfix wobbler gruzzle snarfix wobbler" * 3
+    more = docs.unionByName(spark.createDataFrame([(2000, late), (2001, "gruzzle you snarfix"), (2001, "gruzzle you snarfix"), (None, "gruzzle")], "doc_id bigint, text string"))
+    again = toxicity.score_toxicity(more.withColumn("score", F.lit("x")).withColumn("q_text", F.lit(1)).withColumn("toxic", F.lit(0)), labels.withColumn("text", F.lit("y"))).collect()
+    new = {x["doc_id"]: x for x in again}
+    assert len(again) == 606 and all(new[i] == x for i, x in got.items()) and new[None]["held_out"] is False
+    assert len({(x["score"], x["predicted"]) for x in again if x["doc_id"] == 2001}) == 1 and new[2001]["predicted"] == 1
+    assert new[2000]["score"] > new[0]["score"] / 2
 
 
 def test_nearest(spark):

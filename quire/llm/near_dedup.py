@@ -24,7 +24,9 @@ Method
    - So only nodes that aren't linked with h look for others, by a prefix filter on the differences: sets that share t elements share
      one among the first |d| - t + 1 of each, in one order for all: the shingles that h lacks by rarity (a shingle that no
      other node adds uses up a place, but meets nobody), then those that h has. Nodes meet by classes of e, so that t is known before they do.
-     Far from the hub t is large, and a straggler's own edits, which nobody shares, use all places up.
+     Far from the hub t is large, and a straggler's own edits, which nobody shares, use all places up. Before a pair
+     is made, bitmaps of both differences bound what they share: no more than the bits that both set, and the elements
+     of either that fell on one bit.
    - Nodes whose difference is not small (over half of the hub) are joined on full sets by a prefix filter that knows
      both sizes. Two linked nodes are both in the first join (up to the size of the hub) or both in the second.
 6. Full sets are computed again from the texts, for the nodes concerned only.
@@ -62,6 +64,8 @@ SHARE = 3
 CLASS = 1.02
 #: Width of a class of e, as a part of the hub's size.
 CLASSES = 50
+#: Words of 64 bits in the bitmap of a difference.
+BITMAP = 16
 #: Bytes of text whose shingles are made at once: some 60 times as much memory.
 STEP = 1 << 20
 
@@ -237,6 +241,10 @@ def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
     part = (100 - THRESHOLD) / (100 + THRESHOLD)
     nears = near.select("hub", "node", "label", "n", "d", "added", "lacks", (~with_hub).alias("stray"), (F.col("d") / 2 - F.col("n") * part / 2).alias("e"), F.greatest(F.lit(1.0), F.col("nh") / CLASSES).alias("w"))
     own = nears.join(own, ["hub", "node"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<bigint>")))
+    bits = [f"b{i}" for i in range(BITMAP)]
+    bitmap = "aggregate(concat(added, lacks), 0L, (z, s) -> z | if(pmod(shiftright(s, 6), {}) = {}, shiftleft(1L, cast(s & 63 as int)), 0L))"
+    own = own.withColumns({b: F.expr(bitmap.format(BITMAP, i)) for i, b in enumerate(bits)})
+    own = own.withColumn("fallen", F.col("d") - sum(F.bit_count(b) for b in bits))
     own = own.withColumn("single", F.size("added") - F.size("x")).withColumn("x", F.concat("x", F.sort_array("lacks"))).drop("added", "lacks")
     own = stage.table(own.withColumn("c", F.floor(F.col("e") / F.col("w"))), "own", codec="uncompressed")
     reach = F.col("n") * (part * 100 / THRESHOLD) + 1  # how far the e of two linked nodes can lie apart
@@ -245,7 +253,7 @@ def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
         at = rows.withColumn("o", F.explode(F.sequence(F.floor((F.col("e") - reach) / F.col("w")), F.floor((F.col("e") + reach) / F.col("w")))))
         need = F.greatest(F.lit(1), F.ceil(F.col("e") + F.col("o") * F.col("w") - 1e-6))
         places = (F.col("d") - need + 1 - F.col("single")).cast("int")
-        at = at.where(places > 0).select("hub", "node", "label", "n", "d", F.col("c").alias(mine), F.col("o").alias(other), "single", F.posexplode(F.slice("x", F.lit(1), places)).alias("i", "s"))
+        at = at.where(places > 0).select("hub", "node", "label", "n", "d", *bits, "fallen", F.col("c").alias(mine), F.col("o").alias(other), "single", F.posexplode(F.slice("x", F.lit(1), places)).alias("i", "s"))
         # rest: how many of the difference come at this place or later.
         return at.withColumn("rest", F.col("d") - F.col("single") - F.col("i")).drop("single", "i")
 
@@ -253,7 +261,9 @@ def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
     met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.cx") == F.col("y.cx")) & (F.col("x.cy") == F.col("y.cy"))
     size = F.col("x.n") + F.col("y.n")
     fits = (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
-    fits &= (F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")) * (100 + THRESHOLD) <= size * (100 - THRESHOLD)
+    both_set = sum(F.bit_count(F.col(f"x.{b}").bitwiseAND(F.col(f"y.{b}"))) for b in bits) + F.least("x.fallen", "y.fallen")
+    for most in (F.least("x.rest", "y.rest"), both_set):
+        fits &= (F.col("x.d") + F.col("y.d") - 2 * most) * (100 + THRESHOLD) <= size * (100 - THRESHOLD)
     pairs = stage.table(x.join(y, met & fits).select(F.col("x.hub").alias("hub"), *_links(F.col("x.node"), F.col("y.node"))).distinct(), "near-hub")
     side = lambda k: near.select("hub", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.concat("added", "lacks").alias(f"d{k}"))
     both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])

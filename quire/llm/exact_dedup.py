@@ -1,9 +1,10 @@
 """Exact dedup against a persistent digest index.
 
-The index is a table bucketed and sorted by digest, one row per distinct text: digest, keep_id, group_size, keep_rows. A new
+The index is a table bucketed and sorted by digest, one row per distinct text: digest, keep_id, group_size, keep_rows, batch. A new
 batch is first reduced to one row per digest (partial aggregation, so a text that a third of all rows repeat costs one
 row per task), then anti-joined with the index bucket by bucket (sort-merge, the index side is not shuffled), and what
-is new is appended.
+is new is appended, with the batch's name. A row is kept if it is the keeper of a digest that this very batch brought: the same batch
+given once more (a retry, say) finds all its digests, appends nothing and keeps nothing.
 
 Defined results: a null text counts as the empty text and all empty texts are one group; a null doc_id loses against any
 other and is kept only where every row of the group has a null doc_id; of wholly repeated rows (same doc_id, same text)
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Staging, checked_broadcast, partitions, text_or_empty
 
-INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint, keep_rows bigint"
+INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint, keep_rows bigint, batch string"
 
 
 class DigestIndex:
@@ -38,11 +39,11 @@ class DigestIndex:
             self._write(self.spark.createDataFrame([], INDEX_SCHEMA), "ignore")
         return self.spark.table(self.name)
 
-    def append_new(self, groups: DataFrame) -> None:
+    def append_new(self, groups: DataFrame, batch: str) -> None:
         """Append the digests of ``groups`` that the index doesn't hold yet."""
         known = self.read().select("digest")
         new = groups.hint("merge").join(known.hint("merge"), "digest", "left_anti")
-        self._write(new.select("digest", "keep_id", "group_size", "keep_rows"), "append")
+        self._write(new.select("digest", "keep_id", "group_size", "keep_rows", F.lit(batch).alias("batch")), "append")
         self.spark.catalog.refreshTable(self.name)
 
     def plain(self) -> DataFrame:
@@ -74,9 +75,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     stage = Staging(spark, "exact")
     rows = stage.table(digests(docs), "digests")  # the only pass over the texts
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
-    index.append_new(digest_groups(rows))
+    batch = uuid.uuid4().hex
+    index.append_new(digest_groups(rows), batch)
     joined = rows.join(index.plain().hint("merge"), "digest")
-    is_last = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    is_last = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
     out = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), F.col("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
     plain = joined.withColumn("kept", is_last & (F.col("keep_rows") == 1)).where(~(is_last & (F.col("keep_rows") > 1)))
     # Wholly repeated rows: only those rows are numbered.

@@ -2,11 +2,11 @@
 
 Each text is brought to words (A-Z in lower case; letters, digits and any character beyond ASCII make words) joined by single
 blanks; rules are regular expressions over that form. A rule has a keyword, and is tried only where the keyword occurs
-(one Aho-Corasick pass per text), a label, a priority and a weight. Overlapping detections are resolved by interval containment:
-a detection that lies within a longer one, or within an equal one of higher priority, is suppressed. The four base
-phrases are never suppressed: their places count as they stand, and a suppressed base label stays in ``labels``.
+(one Aho-Corasick pass per text), a label, a priority and a weight. Overlapping detections are resolved in the order of their
+priorities, the longer first among equals: one that lies within a detection that stays, or overlaps one, is suppressed. The four base
+phrases have the lowest priority, but their places count as they stand, and their labels stay in ``labels``.
 
-Rules come from families (a name, its spellings, its versions) and a few forms in which texts cite a license.
+Rules come from families (a name, its spellings, its versions), the short identifiers, and a few forms in which texts cite a license.
 
 Defined results: null and empty texts have no words, no places and score 0; ties between rules go to the earlier rule;
 very long texts are scanned whole; wholly repeated rows give equal results; further columns are ignored, whatever their
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import wordbytes as wb
+from quire.llm.common import released
 
 #: The base phrases and their labels.
 BASE = {
@@ -78,6 +80,14 @@ NOTICES = [
     ("public-domain", r"(?:dedicated|released|placed) (?:to|into|in) the public domain", "domain"),
     ("proprietary", r"all rights reserved", "reserved"),
 ]
+#: Short identifiers of the public license list, as words; where a number follows, they are told by themselves.
+SHORT = (
+    "0bsd", "afl 3 0", "agpl 3 0", "apache 1 1", "apache 2 0", "artistic 2 0", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "bsl 1 0", "cc0 1 0",
+    "cc by 3 0", "cc by 4 0", "cc by sa 3 0", "cc by sa 4 0", "cc by nc 4 0", "cc by nd 4 0", "cc by nc sa 4 0", "cc by nc nd 4 0", "cddl 1 0", "cecill 2 1",
+    "ecl 2 0", "epl 1 0", "epl 2 0", "eupl 1 1", "eupl 1 2", "gfdl 1 3", "gpl 1 0", "gpl 2 0", "gpl 3 0", "isc", "lgpl 2 0", "lgpl 2 1", "lgpl 3 0", "mit", "mit 0",
+    "mpl 1 1", "mpl 2 0", "ms pl", "ms rl", "mulanpsl 2 0", "ncsa", "odbl 1 0", "ofl 1 1", "osl 3 0", "php 3 01", "postgresql", "python 2 0", "ruby", "sleepycat",
+    "unlicense", "upl 1 0", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl 2 1",
+)
 #: How a license is cited around its name: before, after, priority.
 FORMS = [
     ("", "", 0),
@@ -90,8 +100,14 @@ FORMS = [
 @lru_cache(1)
 def rules() -> list[tuple[str, int, str, re.Pattern]]:
     """(label, priority, keyword, expression) in order: the base phrases, notices, then families by form and version."""
-    found = [(label, 9, phrase.split(" ")[-2], phrase) for phrase, label in BASE.items()]
+    found = [(label, 0, phrase.split(" ")[-2], phrase) for phrase, label in BASE.items()]
     found += [(label, 8, keyword, text) for label, text, keyword in NOTICES]
+    for words in SHORT:
+        label, keyword = re.sub(r"(?<=\d) (?=\d)", ".", words).replace(" ", "-"), words.split(" ")[0]
+        tail = "(?: only| or later| plus)?"
+        found += [(label, 9, "identifier", rf"spdx licen[cs]e identifier {words}{tail}"), (label, 7, keyword, rf"{words}{tail} licen[cs]ed")]
+        if words[-1].isdigit() or words.startswith("bsd "):
+            found.append((label, 6, keyword, rf"{words}{tail}(?: licen[cs]e)?"))
     for name, spelling, versions, keywords in FAMILIES:
         for before, after, priority in FORMS:
             for version in (*versions, ""):
@@ -145,14 +161,13 @@ def detections(words: str, keywords: set[str], by: dict[str, list[int]]) -> list
 
 
 def resolve(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What interval containment leaves: nothing within a longer detection, or within an equal one of a better rule."""
+    """What stays, by place: detections in the order of priority, length, place and rule, without those that meet one that stays."""
     table = rules()
-    order = sorted(found, key=lambda x: (x[0], -x[1], -table[x[2]][1], x[2]))
-    kept, reach = [], -1
-    for x in order:
-        if x[1] > reach:
-            kept.append(x)
-            reach = x[1]
+    kept: list[tuple[int, int, int]] = []
+    for x in sorted(found, key=lambda x: (-table[x[2]][1], x[0] - x[1], x[0], x[2])):
+        at = bisect_left(kept, x)
+        if (at == len(kept) or kept[at][0] >= x[1]) and (not at or kept[at - 1][1] <= x[0]):
+            kept.insert(at, x)
     return kept
 
 
@@ -208,4 +223,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return rows.mapInArrow(released(scan), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

@@ -86,23 +86,27 @@ ORACLE["op2_tool_calls"] = r"""
 WITH c AS (
   SELECT conv_id, turn, CASE role WHEN 'user' THEN 'respond' ELSE 'configure' END AS name, text, md5(conv_id || ':' || turn) AS call_id,
     dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level
-  FROM conversations WHERE role IN ('user', 'system')),
-r AS (SELECT conv_id, turn, text, md5(conv_id || ':' || (turn - 1)) AS call_id FROM conversations WHERE role = 'assistant'),
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'system'))),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY text IS NULL, text) AS n
+  FROM (SELECT DISTINCT conv_id, turn, text, md5(conv_id || ':' || (turn - 1)) AS call_id FROM conversations WHERE role = 'assistant')),
 j AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, c.level, c.name,
-    r.call_id IS NOT NULL AS linked,
-    CASE WHEN c.call_id IS NULL THEN 'result without a call' WHEN c.text IS NULL THEN 'text: missing'
+  SELECT c.conv_id, c.call_id, c.turn, c.level, c.name, r.call_id IS NOT NULL AS linked,
+    CASE WHEN c.text IS NULL THEN 'text: missing'
       WHEN c.name = 'respond' AND length(c.text) > 1000000 OR c.name = 'configure' AND length(c.text) > 100000 THEN 'text: too long'
       WHEN c.turn < 0 THEN 'turn: negative' END AS error,
-    c.call_id AS cid, c.text AS ctext, c.turn AS cturn, r.text AS rtext
-  FROM c FULL JOIN r ON c.call_id = r.call_id)
+    c.text AS ctext, r.text AS rtext
+  FROM c LEFT JOIN r ON c.call_id = r.call_id AND r.n = 1)
 SELECT conv_id, call_id, turn, level, name, linked, error,
   '{' || concat_ws(',',
-    CASE WHEN cid IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"text":' || CAST(to_json(ctext) AS VARCHAR), '"turn":' || cturn) || '}' END,
+    '"arguments":{' || concat_ws(',', '"text":' || CAST(to_json(ctext) AS VARCHAR), '"turn":' || turn) || '}',
     '"id":"' || call_id || '"', '"name":"' || name || '"',
-    CASE WHEN linked THEN '"result":' || coalesce(CAST(to_json(rtext) AS VARCHAR), 'null') END,
-    CASE WHEN cid IS NOT NULL THEN '"valid":' || (error IS NULL) END) || '}' AS json
+    CASE WHEN linked THEN '"result":' || coalesce(CAST(to_json(rtext) AS VARCHAR), 'null') END, '"valid":' || (error IS NULL)) || '}' AS json
 FROM j
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, NULL, true, CASE WHEN call_id IN (SELECT call_id FROM c) THEN 'another result of a call' ELSE 'result without a call' END,
+  '{"id":"' || call_id || '","result":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}'
+FROM r WHERE n > 1 OR call_id NOT IN (SELECT call_id FROM c)
 """
 
 ORACLE["op8_source_mix"] = r"""

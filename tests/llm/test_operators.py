@@ -72,13 +72,16 @@ def test_digest_index_keeps_growing(spark):
         rows.collect()
         assert index.read().count() == size
     assert {r["doc_id"]: r["keep_id"] for r in rows.collect()} == {9: 1, 3: 4, 4: 4}
+    again = exact_dedup.exact_dedup(spark.createDataFrame([(9, "a"), (3, "c"), (4, "c")], "doc_id bigint, text string"), index)
+    assert not any(r["kept"] for r in again.collect()) and index.read().count() == 3
     about = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED growing_index").collect()}
     assert about["Num Buckets"] == "3" and "digest" in about["Bucket Columns"] and "digest" in about["Sort Columns"]
 
 
 def test_tool_calls(spark):
     rows = [(1, 0, "system", "be\n\"x\""), (1, 1, "user", "q\\\u0001"), (1, 2, "assistant", "a"), (1, 3, "user", None), (2, 5, "assistant", "lost"), (None, 0, "user", "n"), (1, 2, "assistant", "a"), (3, None, "user", "x"), (3, 1, "robot", "x"), (4, -1, "user", "neg")]
-    got = tool_calls.linked_tool_calls(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("call_id", F.lit("x"))).collect()
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    got = tool_calls.linked_tool_calls(spark.createDataFrame(rows, schema).withColumn("call_id", F.lit("x")).withColumn("conv", F.lit(1))).collect()
     by = {(r["conv_id"], r["turn"]): r for r in got}
     assert len(got) == 6 and set(by) == {(1, 0), (1, 1), (1, 3), (2, 5), (None, 0), (4, -1)}
     assert by[1, 1]["linked"] and by[1, 1]["level"] == 1 and by[1, 1]["error"] is None
@@ -88,6 +91,17 @@ def test_tool_calls(spark):
         value = json.loads(r["json"])
         assert json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["json"]
     assert json.loads(by[1, 1]["json"])["arguments"]["text"] == "q\\\u0001"
+    # Many calls and results of one identifier, with and without a conversation: never each with each.
+    many = [(c, t, r, f"{r} {i}") for c in (None, 7) for i in range(60) for t, r in ((1, "user"), (2, "assistant"))]
+    many += [(8, 1, "user", "x" * 1_100_000), (8, 3, "user", "")]
+    got = tool_calls.linked_tool_calls(spark.createDataFrame(many, schema)).collect()
+    errors = {}
+    for r in got:
+        errors[r["conv_id"], r["error"]] = errors.get((r["conv_id"], r["error"]), 0) + 1
+    assert errors == {(7, None): 60, (7, "another result of a call"): 59, (None, None): 60, (None, "result without a call"): 60, (8, "text: too long"): 1, (8, None): 1}
+    assert all(json.loads(r["json"])["result"] == "assistant 0" for r in got if r["conv_id"] == 7 and r["error"] is None)
+    assert {(r["turn"], r["level"]) for r in got if r["conv_id"] == 8} == {(1, 0), (3, 1)}
+    assert tool_calls.linked_tool_calls(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_topological_levels(spark):
@@ -95,6 +109,14 @@ def test_topological_levels(spark):
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("e", "f"), ("f", "e"), ("g", "f"), ("d", "zz")], "call_id string, needs_id string")
     got = {r["call_id"]: r["level"] for r in tool_calls.topological_levels(calls, needs).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 0, "e": None, "f": None, "g": None}
+    r = random.Random(4)
+    links = {i: sorted(r.sample(range(i), min(i, r.choice([0, 1, 1, 1, 1, 2, 3])))) for i in range(70)}
+    level = {}
+    for i, below in links.items():
+        level[i] = max((level[x] + 1 for x in below), default=0)
+    calls = spark.createDataFrame([(str(i),) for i in links], "call_id string")
+    needs = spark.createDataFrame([(str(i), str(x)) for i, below in links.items() for x in below], "call_id string, needs_id string")
+    assert {int(x["call_id"]): x["level"] for x in tool_calls.topological_levels(calls, needs).collect()} == level
 
 
 def brute_near(rows, width):
@@ -197,6 +219,21 @@ def test_licenses(spark, docs):
         assert 0 <= r["score"] <= 1
     assert got[7]["labels"] == "gpl" and got[1]["labels"] == "cc-by,cc-by-sa-4.0"
     assert len(licenses.rules()) > 300
+    forms = {"SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "Apache-2.0": "apache-2.0", "MIT-licensed": "mit", "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "BSD-3-Clause": "bsd-3-clause"}
+    named = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(forms)), "doc_id bigint, text string")).collect()}
+    assert named == dict(enumerate(forms.values()))
+    table, alphabet = licenses.rules(), "gnu general public license version 3 0 mit cc by sa 4 0 apache 2 0 spdx license identifier mit licensed under the terms".split()
+    r = random.Random(6)
+    for _ in range(150):  # against a plain reading of the rules of suppression
+        text = " ".join(r.choice(alphabet) for _ in range(25))
+        every = [(m.start(), m.end(), i) for i, (_, _, keyword, rule) in enumerate(table) if f" {keyword} " in f" {text} " for m in rule.finditer(text)]
+        left, stay = sorted(every, key=lambda x: (-table[x[2]][1], x[0] - x[1], x[0], x[2])), []
+        while left:
+            stay.append(left[0])
+            left = [x for x in left[1:] if x[1] <= stay[-1][0] or x[0] >= stay[-1][1]]
+        scanned = licenses._scan(text)
+        want = {table[x[2]][0] for x in stay} | {table[x[2]][0] for x in every if x[2] < len(licenses.BASE)}
+        assert (scanned[4] if scanned else "") == ",".join(sorted(want))
     assert licenses.scan_licenses(docs).count() == len(corpus())
 
 

@@ -64,10 +64,10 @@ def unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def unescape_exactly(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the entities of ``column`` decoded; Python sees only the rows that hold entities beyond the closed set."""
-    odd = F.coalesce(holds_other_entities(F.col(column)), F.lit(False))
-    return df.where(~odd).withColumn(column, unescape(F.col(column))).unionByName(df.where(odd).withColumn(column, unescape_all(column)))
+def unescape_exactly(text: Column) -> Column:
+    """All entities decoded. Only texts with entities beyond the closed set are sent to Python, and each is read once."""
+    odd = F.coalesce(holds_other_entities(text), F.lit(False))
+    return F.coalesce(unescape_all(F.when(odd, text)), unescape(text))
 
 
 def words(text: Column) -> Column:

@@ -125,8 +125,8 @@ def keyword_resolve(pages: DataFrame, toc: DataFrame) -> DataFrame:
 
 
 def strings_heap(pages: DataFrame) -> DataFrame:
-    """(page_id, page, pos): titles as zero-ended Latin-1 strings; none begins in one page and ends in the next."""
-    sized = pages.select("page_id", (F.least(F.length(text.page_title(F.coalesce("html", F.lit("")))), F.lit(4000)) + 1).cast("bigint").alias("size"))
+    """(page_id, page, pos): titles as zero-ended Latin-1 strings; none begins in one page and ends in the next, but those longer than a page."""
+    sized = pages.select("page_id", (F.length(text.page_title(F.coalesce("html", F.lit("")))) + 1).cast("bigint").alias("size"))
     return pack(sized, [F.col("page_id")], "size", first_place=1).select("page_id", "page", "pos")
 
 

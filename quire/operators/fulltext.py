@@ -14,29 +14,31 @@ from quire.staging import Staging, ranked
 
 #: Roots of the codes of document steps, occurrence counts and position steps.
 ROOTS = (1, 1, 6)
-#: Lists of at most this many occurrences are gathered as arrays; longer ones stay rows.
-GATHER = 1_000_000
 
 
-def sections(pages: DataFrame, exact: bool = False) -> DataFrame:
+def sections(pages: DataFrame, exact: bool = True) -> DataFrame:
     """(page_id, title, body): text of both sections without markup, entities decoded."""
     html = F.coalesce(F.col("html"), F.lit(""))
     out = pages.select("page_id", text.strip_markup(text.title_section(html)).alias("title"), text.strip_markup(text.body_section(html)).alias("body"))
-    if exact:
-        return text.unescape_exactly(text.unescape_exactly(out, "title"), "body")
-    return out.select("page_id", text.unescape(F.col("title")).alias("title"), text.unescape(F.col("body")).alias("body"))
+    decode = text.unescape_exactly if exact else text.unescape
+    return out.select("page_id", decode(F.col("title")).alias("title"), decode(F.col("body")).alias("body"))
 
 
-def word_lists(pages: DataFrame, exact: bool = False) -> DataFrame:
+def word_lists(pages: DataFrame, exact: bool = True) -> DataFrame:
     """(page_id, title_words, body_words), stop words still in."""
     return sections(pages, exact).select("page_id", text.words(F.col("title")).alias("title_words"), text.words(F.col("body")).alias("body_words"))
 
 
-def occurrences(pages: DataFrame, exact: bool = False) -> DataFrame:
+def tagged(title: Column, body: Column) -> Column:
+    """One array of (is_title, word): both sections are read in one pass."""
+    tag = lambda words, is_title: F.transform(words, lambda w: F.struct(F.lit(is_title).alias("is_title"), w.alias("word")))
+    return F.concat(tag(title, True), tag(body, False))
+
+
+def occurrences(pages: DataFrame, exact: bool = True) -> DataFrame:
     """(page_id, is_title, word, pos): one row per indexed word; stop words take no position, the body goes on after the title."""
     lists = word_lists(pages, exact).select("page_id", text.without_stop_words(F.col("title_words")).alias("t"), text.without_stop_words(F.col("body_words")).alias("b"))
-    tagged = F.concat(F.transform("t", lambda w: F.struct(F.lit(True).alias("is_title"), w.alias("word"))), F.transform("b", lambda w: F.struct(F.lit(False).alias("is_title"), w.alias("word"))))
-    return lists.select("page_id", F.posexplode(tagged).alias("pos", "x")).select("page_id", "x.is_title", "x.word", F.col("pos").cast("bigint").alias("pos"))
+    return lists.select("page_id", F.posexplode(tagged(F.col("t"), F.col("b"))).alias("pos", "x")).select("page_id", "x.is_title", "x.word", F.col("pos").cast("bigint").alias("pos"))
 
 
 def postings(occ: DataFrame) -> DataFrame:
@@ -124,7 +126,3 @@ def phrase(occ: DataFrame, terms: list[str]) -> DataFrame:
     for i in range(1, len(terms)):
         out = out.join(at(i), ["page_id", "pos"], "left_semi")
     return out.distinct()
-
-
-def is_stop_word(word: Column) -> Column:
-    return word.isin(list(text.STOP_WORDS))

@@ -1,4 +1,5 @@
-"""Packing of ordered entries into fixed pages: an entry that doesn't fit begins the next page.
+"""Packing of ordered entries into fixed pages: an entry that doesn't fit begins the next page. One longer than a page covers
+several and fills the last of them, so that another begins behind it.
 
 Where an entry lands depends on all before it, but only through one number, the place reached in the page. So each range of
 the order computes, in parallel, where it ends for every place it could begin at; places soon run together, and the table of a range is
@@ -27,8 +28,8 @@ def _ends(sizes: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray]:
         place = place + size
         over = place > page
         if over.any():
-            place[over] = size
-            turned[over] += 1
+            place[over] = min(size, page)
+            turned[over] += 1 + (size - 1) // page
             place, first, inverse = np.unique(place, return_index=True, return_inverse=True)
             lead += turned[group] - turned[first][inverse[group]]
             group, turned = inverse[group], turned[first]
@@ -36,7 +37,7 @@ def _ends(sizes: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: int = 0, first_page: int = 0) -> DataFrame:
-    """``df`` with page and place of each row. Sizes must not exceed the page."""
+    """``df`` with page and place of each row."""
     stage = Staging(df.sparkSession, "pack")
     rows = globally_ordered(df, keys, stage)
 
@@ -62,7 +63,7 @@ def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: in
                 at_page, at_place = at_page + 1, 0
             pages.append(at_page)
             places.append(at_place)
-            at_place += n
+            at_page, at_place = at_page + max(n - 1, 0) // page, min(at_place + n, page)
         return pd.DataFrame({"part": pdf["part"], "place": pdf["place"], "q_page": pages, "q_pos": places})
 
     placed = slim.groupBy("part").applyInPandas(place_all, "part bigint, place bigint, q_page bigint, q_pos bigint")

@@ -31,10 +31,9 @@ def strip_markup(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    lists = fulltext.word_lists(pages(spark, sf_dir))
-    title = lists.select("page_id", F.lit(True).alias("is_title"), F.explode("title_words").alias("word"))
-    body = lists.select("page_id", F.lit(False).alias("is_title"), F.explode("body_words").alias("word"))
-    return title.unionByName(body).groupBy("page_id", "is_title", "word").agg(F.count("*").alias("n"))
+    words = fulltext.tagged(F.col("title_words"), F.col("body_words"))
+    rows = fulltext.word_lists(pages(spark, sf_dir)).select("page_id", F.explode(words).alias("x"))
+    return rows.groupBy("page_id", "x.is_title", "x.word").agg(F.count("*").alias("n"))
 
 
 def stopword_filter(spark, sf_dir):
@@ -312,7 +311,7 @@ SELECT name, section, row_number() OVER (ORDER BY lower(name), name, section) -
 SELECT keyword, row_number() OVER (ORDER BY lower(regexp_replace(keyword, '^[^\p{{L}}\p{{N}}]+', '')),
   list_transform(string_split(keyword, ''), lambda c: {{'c': lower(c), 'u': CASE WHEN regexp_matches(c, '^\p{{Lu}}$') THEN 1 ELSE 0 END}}), keyword) - 1 AS rank FROM k""",
     "keyword_resolve": f"WITH {_TOPICS}, g AS (SELECT lower({_URL.format('url')}) AS key, max(topic_idx) AS topic_idx FROM topics GROUP BY 1) SELECT title AS keyword, topic_idx FROM toc JOIN g ON g.key = lower({_URL.format('toc.url')}) WHERE title <> '' AND url <> ''",
-    "strings_heap": _packing(_P, rf"SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, least(length(trim(regexp_replace(regexp_replace(regexp_extract(html, '{text.TITLE}', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))), 4000) + 1 AS size FROM p", 4096, 0, 1, "page_id"),
+    "strings_heap": _packing(_P, rf"SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, length(trim(regexp_replace(regexp_replace(regexp_extract(html, '{text.TITLE}', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) + 1 AS size FROM p", 4096, 0, 1, "page_id"),
     "varint_len": f"""WITH {_P}, z AS (SELECT DISTINCT CAST(strlen(html) AS BIGINT) AS value FROM p), g AS (SELECT value, {_groups("value")} AS i FROM z)
 SELECT value, array_to_string(list_transform(i, lambda k: {_HEX.format("((value >> (7 * k)::INT) & 127) + CASE WHEN k < len(i) - 1 THEN 128 ELSE 0 END")}), '') AS leb128,
   array_to_string(list_transform(i, lambda k: {_HEX.format("((value >> (7 * (len(i) - 1 - k))::INT) & 127) + CASE WHEN k < len(i) - 1 THEN 128 ELSE 0 END")}), '') AS encint FROM g""",

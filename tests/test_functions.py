@@ -52,7 +52,7 @@ def test_very_long_words(spark, long):
 def test_unescape_all_entities(spark):
     values = ["a &amp; b", "&amp;lt;", "&eacute;t&#233; &copy", "none", "&notit; &middot;", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-    got = [r["v"] for r in text.unescape_exactly(df, "v").orderBy("i").collect()]
+    got = [r["v"] for r in df.select("i", text.unescape_exactly(F.col("v")).alias("v")).orderBy("i").collect()]
     assert got == [None if v is None else html.unescape(v) for v in values]
 
 

@@ -80,11 +80,11 @@ def brute(sizes, page, first=0):
         if at + n > page:
             p, at = p + 1, 0
         out.append((p, at))
-        at += n
+        p, at = p + max(n - 1, 0) // page, min(at + n, page)
     return out
 
 
-@pytest.mark.parametrize("sizes", [[1500, 1600, 1700, 1800, 1900, 2000], [4096, 1, 4096], [random.Random(5).randint(1, 900) for _ in range(700)]])
+@pytest.mark.parametrize("sizes", [[1500, 1600, 1700, 1800, 1900, 2000], [4096, 1, 4096], [10, 9000, 5, 4097, 4096, 20_000, 3] * 5, [random.Random(5).randint(1, 900) for _ in range(700)]])
 def test_packing(spark, sizes):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i bigint, size bigint")
     got = [(r["page"], r["pos"]) for r in pack(df, [F.col("i")], "size").orderBy("i").collect()]
@@ -145,3 +145,10 @@ def test_entry(spark):
 
     assert os.path.isdir(DATA)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_all_entities_are_decoded(spark):
+    """Also numeric ones, names beyond the closed set and those without a semicolon."""
+    page = spark.createDataFrame([(0, "a", "<title>caf&eacute; &#233;t&#xe9;</title><body>x&ndash;y R&amp D &lt;b&gt; &quot;q&quot;</body>")], "page_id bigint, url string, html string")
+    got = [(r["is_title"], r["word"]) for r in fulltext.occurrences(page).orderBy("pos").collect()]
+    assert got == [(True, "café"), (True, "été"), (False, "x"), (False, "y"), (False, "r"), (False, "d"), (False, "b"), (False, "q")]

@@ -38,7 +38,7 @@ LONGEST = 100_000
 WINDOW, COMMON, TRAINED = 12, 4_000, 16_384
 LEVEL = 9
 #: Length of the runs that tell the classes apart: such a run stands in this many more texts of its class, with this much evidence (in nats).
-GRAM, TIMES, EVIDENCE = 5, 20.0, 60.0
+GRAM, TIMES, EVIDENCE = 5, 12.0, 20.0
 #: Bytes saved from which a window counts.
 SAVED = 3
 CUT = 0.7

@@ -23,6 +23,11 @@ def _groups(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7).cast("int"))
 
 
+def leb128_len(n: Column) -> Column:
+    """Number of bytes of ``leb128_hex``."""
+    return _groups(n).cast("bigint")
+
+
 def leb128_hex(n: Column) -> Column:
     """Little-endian groups of seven bits, the high bit set on all but the last."""
     last = _groups(n) - 1

@@ -101,6 +101,11 @@ def is_topic(path: Column) -> Column:
     return F.contains(F.lower(F.element_at(F.split(path, "/"), -1)), F.lit(".ht"))
 
 
+def base_name(path: Column) -> Column:
+    """The last part of a path without its extension, in lower case; a name that begins with its only point is whole."""
+    return F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/\\\\]*)$", 1), r"(?<=[^.])\.[^.]*$", ""))
+
+
 def directories(path: Column) -> Column:
     """All directories above an absolute path, the root left out, each with its slash."""
     parts = F.split(path, "/")

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import codecs, text
+from quire.operators import fulltext
 from quire.operators.packing import pack
-from quire.staging import Staging, ranked
+from quire.staging import Staging, preceded, ranked
 
 NAV = r"(?is)<nav>(.*?)</nav>"
 ANCHOR = r"""(?is)<a href="[^"]*">.*?</a>"""
 BLOCK = 65536
+#: Directories that every project has; sizes of a leaf's header, an index node's, a keyword block's and a keyword index block's.
+FIXED_DIRECTORIES = ("/$WWKeywordLinks/", "/$WWAssociativeLinks/")
+LEAF, LEAF_HEADER, NODE_HEADER = 4096, 8, 2
+KEYWORD_BLOCK, LISTING_HEADER, INDEX_HEADER = 2048, 12, 8
 
 
 def outlinks(pages: DataFrame) -> DataFrame:
@@ -40,10 +46,10 @@ def directories(pages: DataFrame) -> DataFrame:
 
 
 def directory_entries(pages: DataFrame) -> DataFrame:
-    """(name, section, rank): contents (1), directories (0) and the root, by lower-case name."""
+    """(name, section, rank): contents (1), directories (0), the fixed ones among them, and the root, by lower-case name."""
     files = page_paths(pages).select(F.col("path").alias("name"), F.lit(1).alias("section"))
     up = directories(pages).select(F.col("dir").alias("name"), F.lit(0).alias("section"))
-    root = pages.sparkSession.createDataFrame([("/", 0)], "name string, section int")
+    root = pages.sparkSession.createDataFrame([(d, 0) for d in ("/", *FIXED_DIRECTORIES)], "name string, section int")
     rows = files.unionByName(up).unionByName(root).distinct()
     return ranked(rows, [F.lower("name"), F.col("name"), F.col("section")], Staging(pages.sparkSession, "directory"))
 
@@ -130,12 +136,21 @@ def strings_heap(pages: DataFrame) -> DataFrame:
     return pack(sized, [F.col("page_id")], "size", first_place=1).select("page_id", "page", "pos")
 
 
+def entry_order() -> list:
+    return [F.col("word"), F.col("is_title").desc()]
+
+
 def leaf_packing(occ: DataFrame) -> DataFrame:
-    """(word, is_title, page, pos): front-coded vocabulary entries in leaves of 4096 bytes (8 for the header)."""
-    from quire.operators.fulltext import front_coded
+    """(word, is_title, page, pos, bytes): vocabulary entries in leaves of 4096 bytes, 8 of them for the header.
 
-    sized = front_coded(occ).select("word", "is_title", (F.octet_length("suffix") + 12).cast("bigint").alias("size"))
-    return pack(sized, [F.col("word"), F.col("is_title").desc()], "size", page=4088).select("word", "is_title", "page", "pos")
+    An entry holds its word from where it leaves the one before (all of it at the head of a leaf), its section, the number of
+    pages, and the place and size of its list. A leaf is closed when the next whole word and 17 bytes would fill it.
+    """
+    entries = preceded(fulltext.wlc_entries(occ), entry_order(), {"last": "word"}, Staging(occ.sparkSession, "leaves"))
+    whole = F.length("word") + 9 + codecs.leb128_len(F.col("df")) + codecs.leb128_len(F.col("wlc_bytes"))
+    entries = entries.withColumn("whole", whole.cast("bigint")).withColumn("size", F.col("whole") - codecs.common_prefix(F.col("word"), F.coalesce("last", F.lit(""))))
+    packed = pack(entries, entry_order(), "size", LEAF, LEAF_HEADER, header=LEAF_HEADER, first=F.col("whole"), need=F.length("word") + 18)
+    return packed.select("word", "is_title", "page", "pos", F.when(F.col("pos") == LEAF_HEADER, F.col("whole")).otherwise(F.col("size")).alias("bytes"))
 
 
 def separator_keys(packed: DataFrame) -> DataFrame:
@@ -144,6 +159,101 @@ def separator_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("page").agg(F.min_by("word", order).alias("first_word"), F.max_by("word", order).alias("last_word"))
 
 
+def block_table(packed: DataFrame, page: int, stage: Staging) -> DataFrame:
+    """(page, n_entries, free, prev_page, next_page, entries_before) of the pages that entries (page, pos, bytes) were packed into; -1: none."""
+    blocks = stage.table(packed.groupBy("page").agg(F.count("*").alias("n_entries"), (page - F.max(F.col("pos") + F.col("bytes"))).alias("free")), "blocks")
+    out = ranked(blocks, [F.col("page")], stage, "entries_before", F.col("n_entries"))
+    last = blocks.agg(F.max("page").alias("q_max"))
+    near = out.crossJoin(F.broadcast(last))  # one row
+    return near.select("page", "n_entries", "free", (F.col("page") - 1).alias("prev_page"), F.when(F.col("page") < F.col("q_max"), F.col("page") + 1).otherwise(-1).alias("next_page"), "entries_before")
+
+
+def leaf_nodes(packed: DataFrame) -> DataFrame:
+    """(leaf, word, page, pos): last words of leaves, front-coded in index nodes of 4096 bytes; empty where one leaf holds all."""
+    stage = Staging(packed.sparkSession, "nodes")
+    leaves = separator_keys(packed).select(F.col("page").alias("leaf"), F.col("last_word").alias("word"))
+    leaves = stage.table(preceded(leaves, [F.col("leaf")], {"last": "word"}, stage), "leaves")
+    many = leaves.agg((F.count("*") > 1).alias("many"))
+    leaves = leaves.crossJoin(F.broadcast(many)).where("many").drop("many")  # one row
+    sized = leaves.withColumn("whole", (F.length("word") + 8).cast("bigint"))
+    sized = sized.withColumn("size", F.col("whole") - codecs.common_prefix(F.col("word"), F.coalesce("last", F.lit(""))))
+    return pack(sized, [F.col("leaf")], "size", LEAF, NODE_HEADER, header=NODE_HEADER, first=F.col("whole")).select("leaf", "word", "page", "pos")
+
+
+def keyword_lists(pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """(keyword, place, topic_idx): each keyword's topics in the order of the contents, repeats kept; one row each, so that a frequent keyword is no long row."""
+    stage = Staging(pages.sparkSession, "keyword-lists")
+    toc = stage.table(toc, "toc")
+    known = topics(pages, toc).groupBy(text.url_key(F.col("url")).alias("key")).agg(F.max("topic_idx").alias("topic_idx"))
+    rows = toc.where("title <> '' and url <> ''").select(F.col("title").alias("keyword"), "ord", text.url_key(F.col("url")).alias("key")).join(known, "key")
+    rows = stage.table(ranked(rows.select("keyword", "ord", "topic_idx"), [F.col("keyword"), F.col("ord")], stage), "ranked")
+    first = rows.groupBy("keyword").agg(F.min("rank").alias("first"))
+    return rows.join(first, "keyword").select("keyword", (F.col("rank") - F.col("first")).alias("place"), "topic_idx")
+
+
+def keyword_blocks(lists: DataFrame) -> DataFrame:
+    """(keyword, n_topics, rank, page, pos, bytes): keywords with topics in collation order, in listing blocks of 2048 bytes (12 for the header)."""
+    stage = Staging(lists.sparkSession, "keyword-blocks")
+    counted = lists.groupBy("keyword").agg(F.count("*").alias("n_topics")).withColumn("k", text.collation_key(F.col("keyword")))
+    counted = ranked(counted, [F.col("k"), F.col("keyword")], stage).drop("k")
+    counted = counted.withColumn("bytes", (F.octet_length(F.encode("keyword", "UTF-16LE")) + 26 + 4 * F.col("n_topics")).cast("bigint"))
+    packed = pack(counted, [F.col("rank")], "bytes", KEYWORD_BLOCK, LISTING_HEADER, header=LISTING_HEADER, need=F.col("bytes") + 1)
+    return packed.select("keyword", "n_topics", "rank", "page", "pos", "bytes")
+
+
+def keyword_tree(blocks: DataFrame) -> DataFrame:
+    """(level, page, pos, keyword, child): index entries above the listing blocks, level by level until one block is left.
+
+    A level has an entry for each block below but the first, under that block's first keyword. As many rounds as the tree is high.
+    """
+    stage = Staging(blocks.sparkSession, "keyword-tree")
+    below = stage.table(blocks.groupBy("page").agg(F.min_by(F.struct("keyword", "n_topics"), "rank").alias("f")).select(F.col("page").alias("child"), "f.keyword", "f.n_topics"), "below")
+    out = []
+    span = below.agg(F.min("child"), F.max("child")).first()
+    while span[0] is not None and span[0] < span[1]:
+        sized = below.where(F.col("child") > span[0]).withColumn("bytes", (F.octet_length(F.encode("keyword", "UTF-16LE")) + 22 + 4 * F.col("n_topics")).cast("bigint"))
+        level = pack(sized, [F.col("child")], "bytes", KEYWORD_BLOCK, INDEX_HEADER, first_page=span[1] + 1, header=INDEX_HEADER, need=F.col("bytes") + 1)
+        level = stage.table(level.withColumn("level", F.lit(len(out) + 1)), "level")
+        out.append(level.select("level", "page", "pos", "keyword", "child"))
+        below = level.where(F.col("pos") == INDEX_HEADER).select(F.col("page").alias("child"), "keyword", "n_topics")
+        span = below.agg(F.min("child"), F.max("child")).first()
+    if not out:
+        return blocks.limit(0).select(F.lit(0).alias("level"), "page", "pos", "keyword", F.col("page").alias("child"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def topics_table(pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """(topic_idx, toc_off, title_off, urltbl_off, urlstr_off, flags): where each topic's contents entry, title and URL are.
+
+    Titles are laid down in the order in which contents entries first name their topics (breadth first), then those of the other
+    topics; an empty one has 0xFFFFFFFF. A page keeps its own title. Of several contents entries of a topic the last
+    counts; without one, toc_off is 0. 341 entries of the URL table fill a page but for four bytes.
+    """
+    stage = Staging(pages.sparkSession, "topics-table")
+    toc = stage.table(toc, "toc")
+    found = stage.table(topics(pages, toc).withColumn("key", F.lower("url")), "topics")
+    known = found.groupBy("key").agg(F.max("topic_idx").alias("topic_idx"))
+    placed = toc.join(toc_offsets(toc), "ord").select(text.url_key(F.col("url")).alias("key"), "title", F.struct("depth", "ord").alias("at"), (F.col("page") * 4096 + F.col("pos")).alias("off"))
+    named = placed.join(known, "key").groupBy("topic_idx").agg(F.max("off").alias("toc_off"), F.min("at").alias("at"), F.min_by("title", "at").alias("toc_title"))
+    own = pages.groupBy(text.canonical_url(F.col("url")).alias("url")).agg(F.min_by(text.page_title(F.coalesce("html", F.lit(""))), "page_id").alias("own_title"))
+    all_ = found.join(named, "topic_idx", "left").join(own, "url", "left")
+    all_ = all_.select("topic_idx", "url", "flags", "at", F.coalesce("toc_off", F.lit(0)).alias("toc_off"), F.coalesce("own_title", "toc_title", F.lit("")).alias("title"))
+    all_ = stage.table(all_, "all")
+    titles = all_.where("title <> ''").select("topic_idx", F.col("at").isNull().alias("late"), "at", (F.length("title") + 1).cast("bigint").alias("size"))
+    heap = pack(titles, [F.col("late"), F.col("at"), F.col("topic_idx")], "size", first_place=1).select("topic_idx", (F.col("page") * 4096 + F.col("pos")).alias("title_off"))
+    urls = url_strings(all_).select("topic_idx", F.col("offset").alias("urlstr_off"))
+    hashed = ranked(all_.select("topic_idx", codecs.url_hash(F.col("url")).alias("hash")), [F.col("hash"), F.col("topic_idx")], stage)
+    table = hashed.select("topic_idx", (F.floor(F.col("rank") / 341) * 4096 + F.col("rank") % 341 * 12).cast("bigint").alias("urltbl_off"))
+    out = all_.join(heap, "topic_idx", "left").join(urls, "topic_idx").join(table, "topic_idx")
+    return out.select("topic_idx", "toc_off", F.coalesce("title_off", F.lit(0xFFFFFFFF)).alias("title_off"), "urltbl_off", "urlstr_off", "flags")
+
+
+def url_strings(found: DataFrame) -> DataFrame:
+    """(topic_idx, offset): zero-ended URLs behind eight bytes each, in topic order, none across a page of 4096."""
+    sized = found.select("topic_idx", (F.length("url") + 9).cast("bigint").alias("size"))
+    return pack(sized, [F.col("topic_idx")], "size", first_place=1).select("topic_idx", (F.col("page") * 4096 + F.col("pos")).alias("offset"))
+
+
 def content_blocks(pages: DataFrame) -> DataFrame:
     """(block_id, uncompressed, compressed, crc): the pages' bytes end to end, cut into 64 KiB blocks, each deflated on its own.
 

@@ -6,11 +6,11 @@ is needed; one shuffle by word makes the postings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import codecs, text
-from quire.staging import Staging, ranked
+from quire.staging import Staging, preceded, ranked
 
 #: Roots of the codes of document steps, occurrence counts and position steps.
 ROOTS = (1, 1, 6)
@@ -67,21 +67,25 @@ def corpus_stats(occ: DataFrame) -> DataFrame:
 
 def posting_deltas(occ: DataFrame) -> DataFrame:
     """(word, is_title, page_id, pos, doc_delta, pos_delta): steps of pages within a word and of positions within a page."""
-    docs = occ.select("word", "is_title", "page_id").distinct()
-    before = F.lag("page_id").over(Window.partitionBy("word", "is_title").orderBy("page_id"))
-    docs = docs.withColumn("doc_delta", F.col("page_id") - F.coalesce(before, F.lit(0)))
-    lists = postings(occ).join(docs, ["word", "is_title", "page_id"])
+    lists = preceded(postings(occ), [F.col("word"), F.col("is_title"), F.col("page_id")], {"w": "word", "t": "is_title", "p": "page_id"}, Staging(occ.sparkSession, "deltas"))
+    same = (F.col("w") == F.col("word")) & (F.col("t") == F.col("is_title"))
+    lists = lists.withColumn("doc_delta", F.col("page_id") - F.when(same, F.col("p")).otherwise(0))
     step = F.transform("positions", lambda x, i: F.struct(x.alias("pos"), (x - F.when(i == 0, 0).otherwise(F.get("positions", i - 1))).alias("pos_delta")))
     return lists.select("word", "is_title", "page_id", "doc_delta", F.explode(step).alias("x")).select("word", "is_title", "page_id", "x.pos", "doc_delta", "x.pos_delta")
 
 
-def wlc_sizes(occ: DataFrame) -> DataFrame:
-    """(word, is_title, wlc_bytes): bytes of each word's list of pages and positions, whole bytes per page."""
+def wlc_entries(occ: DataFrame) -> DataFrame:
+    """(word, is_title, df, wlc_bytes): pages and bytes of each word's list of pages and positions, whole bytes per page."""
     deltas = posting_deltas(occ)
     doc, count, place = ROOTS
     per_page = deltas.groupBy("word", "is_title", "page_id").agg(F.first("doc_delta").alias("d"), F.count("*").alias("n"), F.sum(codecs.scale_root_size(F.col("pos_delta"), place)).alias("bits"))
     bits = codecs.scale_root_size(F.col("d"), doc) + codecs.scale_root_size(F.col("n"), count) + F.col("bits")
-    return per_page.groupBy("word", "is_title").agg(F.sum(F.ceil(bits / 8)).cast("bigint").alias("wlc_bytes"))
+    return per_page.groupBy("word", "is_title").agg(F.count("*").alias("df"), F.sum(F.ceil(bits / 8)).cast("bigint").alias("wlc_bytes"))
+
+
+def wlc_sizes(occ: DataFrame) -> DataFrame:
+    """(word, is_title, wlc_bytes)."""
+    return wlc_entries(occ).select("word", "is_title", "wlc_bytes")
 
 
 def wlc_payload(occ: DataFrame) -> DataFrame:
@@ -105,12 +109,10 @@ def vocabulary(occ: DataFrame, name: str = "rank") -> DataFrame:
 def front_coded(occ: DataFrame) -> DataFrame:
     """(word, is_title, prefix_len, suffix): each entry against the one before it in vocabulary order.
 
-    The entry before is found by its rank, so that no task holds the whole order.
+    No task holds more than a range of the order.
     """
-    stage = Staging(occ.sparkSession, "front")
-    entries = stage.table(vocabulary(occ), "entries")
-    before = entries.select((F.col("rank") + 1).alias("rank"), F.col("word").alias("last"))
-    both = entries.join(before, "rank", "left").withColumn("prefix_len", codecs.common_prefix(F.col("word"), F.coalesce("last", F.lit(""))))
+    entries = preceded(occ.select("word", "is_title").distinct(), [F.col("word"), F.col("is_title").desc()], {"last": "word"}, Staging(occ.sparkSession, "front"))
+    both = entries.withColumn("prefix_len", codecs.common_prefix(F.col("word"), F.coalesce("last", F.lit(""))))
     return both.select("word", "is_title", "prefix_len", F.substring("word", (F.col("prefix_len") + 1).cast("int"), F.length("word")).alias("suffix"))
 
 

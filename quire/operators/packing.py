@@ -1,16 +1,17 @@
 """Packing of ordered entries into fixed pages: an entry that doesn't fit begins the next page. One longer than a page covers
-several and fills the last of them, so that another begins behind it.
+several, and the next one may begin in the last of them.
 
 Where an entry lands depends on all before it, but only through one number, the place reached in the page. So each range of
-the order computes, in parallel, where it ends for every place it could begin at; places soon run together, and the table of a range is
-small. Ranges are then chained over these tables, one row each, and packed in a second parallel pass.
+the order computes, in parallel, where it ends for every place it could begin at; places soon run together, so a range is
+described by a few runs of beginnings that end alike. Ranges are then chained over these runs, a few numbers each, and packed
+in a second parallel pass.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.staging import Staging, globally_ordered
@@ -18,54 +19,65 @@ from quire.staging import Staging, globally_ordered
 PAGE = 4096
 
 
-def _ends(sizes: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray]:
+def _ends(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, header: int) -> tuple[np.ndarray, np.ndarray]:
     """(pages turned, place reached) after the entries, for each place 0..page at which they could begin."""
     group = np.arange(page + 1)  # the state that each beginning has run into
     place = np.arange(page + 1)
     turned = np.zeros(page + 1, np.int64)
     lead = np.zeros(page + 1, np.int64)  # pages that a beginning is ahead of its state
-    for size in sizes:
-        place = place + size
-        over = place > page
+    for s, f, n in zip(size, first, need, strict=True):
+        over = (place > header) & (place + n > page)
+        place = np.where(over | (place == header), header + f, place + s)
+        more = np.maximum(place - 1, 0) // page
+        turned += over + more
+        place -= more * page
         if over.any():
-            place[over] = min(size, page)
-            turned[over] += 1 + (size - 1) // page
-            place, first, inverse = np.unique(place, return_index=True, return_inverse=True)
-            lead += turned[group] - turned[first][inverse[group]]
-            group, turned = inverse[group], turned[first]
+            place, at, inverse = np.unique(place, return_index=True, return_inverse=True)
+            lead += turned[group] - turned[at][inverse[group]]
+            group, turned = inverse[group], turned[at]
     return turned[group] + lead, place[group]
 
 
-def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: int = 0, first_page: int = 0) -> DataFrame:
-    """``df`` with page and place of each row."""
+def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: int = 0, first_page: int = 0, header: int = 0, first: Column | None = None, need: Column | None = None) -> DataFrame:
+    """``df`` with page and pos of each row.
+
+    Later pages begin at ``header``. ``first``: the size of a row that begins a page (default: its size); ``need``: the room that has to
+    be left for a row to stay in a page (default: its size).
+    """
     stage = Staging(df.sparkSession, "pack")
-    rows = globally_ordered(df, keys, stage)
+    sized = df.withColumns({"q_size": F.col(size).cast("bigint"), "q_first": (F.col(size) if first is None else first).cast("bigint"), "q_need": (F.col(size) if need is None else need).cast("bigint")})
+    rows = globally_ordered(sized, keys, stage)
+    sizes = ["q_size", "q_first", "q_need"]
 
     def ends(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        turned, place = _ends(pdf.sort_values("place")["q_size"].to_numpy(np.int64), page)
-        return pd.DataFrame({"part": [key[0]], "turned": [turned.tolist()], "reached": [place.tolist()]})
+        turned, place = _ends(*(pdf.sort_values("place")[c].to_numpy(np.int64) for c in sizes), page, header)
+        at = np.flatnonzero(np.concatenate(([True], (np.diff(turned) != 0) | (np.diff(place) != 0))))
+        return pd.DataFrame({"part": [key[0]], "since": [at.tolist()], "turned": [turned[at].tolist()], "reached": [place[at].tolist()]})
 
-    slim = rows.select("part", "place", F.col(size).cast("bigint").alias("q_size"))
-    tables = slim.groupBy("part").applyInPandas(ends, "part bigint, turned array<bigint>, reached array<bigint>")
-    # One row per range, each of page + 1 numbers: their chain is short.
+    slim = rows.select("part", "place", *sizes)
+    tables = slim.groupBy("part").applyInPandas(ends, "part bigint, since array<bigint>, turned array<bigint>, reached array<bigint>")
+    # One row per range, of a few runs (at most page + 1): their chain is short.
     at_page, at_place, starts = first_page, first_place, []
     for r in sorted(tables.collect(), key=lambda r: r["part"]):
         starts.append((r["part"], at_page, at_place))
-        at_page, at_place = at_page + r["turned"][at_place], r["reached"][at_place]
+        run = int(np.searchsorted(r["since"], at_place, side="right")) - 1
+        at_page, at_place = at_page + r["turned"][run], r["reached"][run]
     begin = {p: (a, b) for p, a, b in starts}
 
     def place_all(key, pdf: pd.DataFrame) -> pd.DataFrame:
         at_page, at_place = begin[key[0]]
         pdf = pdf.sort_values("place")
         pages, places = [], []
-        for n in pdf["q_size"]:
-            if at_place + n > page:
-                at_page, at_place = at_page + 1, 0
+        for s, f, n in zip(*(pdf[c] for c in sizes), strict=True):
+            if at_place > header and at_place + n > page:
+                at_page, at_place = at_page + 1, header
             pages.append(at_page)
             places.append(at_place)
-            at_page, at_place = at_page + max(n - 1, 0) // page, min(at_place + n, page)
+            at_place += f if at_place == header else s
+            more = max(at_place - 1, 0) // page
+            at_page, at_place = at_page + more, at_place - more * page
         return pd.DataFrame({"part": pdf["part"], "place": pdf["place"], "q_page": pages, "q_pos": places})
 
     placed = slim.groupBy("part").applyInPandas(place_all, "part bigint, place bigint, q_page bigint, q_pos bigint")
-    out = rows.join(placed, ["part", "place"]).drop("part", "place")
+    out = rows.join(placed, ["part", "place"]).drop("part", "place", *sizes)
     return out.withColumnsRenamed({"q_page": "page", "q_pos": "pos"})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import codecs, text
 from quire.operators import catalog, fulltext
 from quire.sources import project
+from quire.staging import Staging
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +154,56 @@ def separator_keys(spark, sf_dir):
     return catalog.separator_keys(catalog.leaf_packing(_occ(spark, sf_dir)))
 
 
+def leaf_table(spark, sf_dir):
+    return catalog.block_table(catalog.leaf_packing(_occ(spark, sf_dir)), catalog.LEAF, Staging(spark, "leaf-table"))
+
+
+def leaf_free_space(spark, sf_dir):
+    return leaf_table(spark, sf_dir).agg(F.count("*").alias("leaves"), F.sum("free").alias("total_free"))
+
+
+def leaf_nodes(spark, sf_dir):
+    return catalog.leaf_nodes(catalog.leaf_packing(_occ(spark, sf_dir)))
+
+
+def _keyword_blocks(spark, sf_dir):
+    return catalog.keyword_blocks(keyword_lists(spark, sf_dir))
+
+
+def keyword_lists(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return catalog.keyword_lists(p, catalog.toc_entries(p))
+
+
+def keyword_blocks(spark, sf_dir):
+    return _keyword_blocks(spark, sf_dir)
+
+
+def keyword_block_table(spark, sf_dir):
+    return catalog.block_table(_keyword_blocks(spark, sf_dir), catalog.KEYWORD_BLOCK, Staging(spark, "keyword-table"))
+
+
+def keyword_tree(spark, sf_dir):
+    return catalog.keyword_tree(Staging(spark, "tree-input").table(_keyword_blocks(spark, sf_dir), "blocks"))
+
+
+def topics_table(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return catalog.topics_table(p, catalog.toc_entries(p))
+
+
+def topic_pages(spark, sf_dir):
+    """Pages that are topics by their name, with the bare name."""
+    paths = catalog.page_paths(pages(spark, sf_dir))
+    return paths.where(text.is_topic(F.col("path"))).select("page_id", text.base_name(F.col("path")).alias("name"))
+
+
+def frame_padding(spark, sf_dir):
+    """One row: bytes of all contents, and with zeros up to whole frames of 32 KiB."""
+    total = pages(spark, sf_dir).agg(F.coalesce(F.sum(F.octet_length(_html())), F.lit(0)).cast("bigint").alias("total"))
+    return total.select("total", (F.ceil(F.col("total") / 32768) * 32768).cast("bigint").alias("padded"))
+
+
 def varint_len(spark, sf_dir):
     n = F.octet_length(_html()).cast("bigint")
     sized = pages(spark, sf_dir).select(n.alias("value")).distinct()
@@ -181,7 +232,8 @@ NAMES = (
     page_title, section_presence, strip_markup, tokens, stopword_filter, word_positions, term_stats, corpus_stats, posting_deltas, wlc_bits,
     wlc_payload, vocab_order, front_coding, url_hash, url_table, outlinks, missing_refs, directories, directory_sort, section_offsets,
     toc_entries, toc_has_children, toc_bfs, toc_offsets, topics_flags, keyword_index, keyword_collation, keyword_resolve, strings_heap,
-    leaf_packing, separator_keys, varint_len, content_blocks, term_lookup, phrase_lookup, project_options,
+    leaf_packing, separator_keys, leaf_table, leaf_free_space, leaf_nodes, keyword_lists, keyword_blocks, keyword_block_table, keyword_tree,
+    topics_table, topic_pages, frame_padding, varint_len, content_blocks, term_lookup, phrase_lookup, project_options,
 )
 
 
@@ -269,10 +321,48 @@ pk AS (
 SELECT {out}, page, pos FROM pk JOIN x USING (i)"""
 
 
+def _paged(name: str, rows: str, page: int, at: int, header: int, first_page: int = 0) -> str:
+    """Tables ``name``_p (the columns of ``rows``, page, pos): rows (i from 1 on, size, first, need) packed, page by page."""
+    return f"""{name}_x AS MATERIALIZED (SELECT *, sum(size) OVER (ORDER BY i) AS upto FROM ({rows})),
+{name}_s AS (
+  SELECT 1::BIGINT AS i, {first_page}::BIGINT AS page, {at}::BIGINT AS at
+  UNION ALL
+  SELECT min(b.i), s.page + 1, {header} FROM {name}_s s JOIN {name}_x a ON a.i = s.i
+    JOIN {name}_x b ON b.i > s.i AND s.at + a.first + b.upto - b.size - a.upto + b.need > {page} GROUP BY s.page),
+{name}_p AS (
+  SELECT x.*, s.page, CAST(CASE WHEN x.i = s.i THEN s.at ELSE s.at + a.first + x.upto - x.size - a.upto END AS BIGINT) AS pos
+  FROM {name}_x x ASOF JOIN {name}_s s ON x.i >= s.i JOIN {name}_x a ON a.i = s.i)"""
+
+
+def _blocks(name: str, page: int) -> str:
+    return f"""SELECT page, count(*) AS n_entries, CAST({page} - max(pos + bytes) AS BIGINT) AS free, page - 1 AS prev_page,
+  CASE WHEN page < (SELECT max(page) FROM {name}) THEN page + 1 ELSE -1 END AS next_page, CAST(sum(count(*)) OVER (ORDER BY page) - count(*) AS BIGINT) AS entries_before
+FROM {name} GROUP BY page"""
+
+
 def _groups(n: str) -> str:
     return f"range(0, greatest(1, CAST(ceil(length(ltrim(bin({n}), '0')) / 7.0) AS BIGINT)))"
 
 
+_COMMON = "CAST(len(list_filter(range(1, least(length(word), length(last)) + 1), lambda i: word[1:i] = last[1:i])) AS BIGINT)"
+_LEB = "greatest(1, CAST(ceil(length(ltrim(bin({0}), '0')) / 7.0) AS BIGINT))"
+_LEAVES = f"""WITH RECURSIVE {_DELTAS},
+g AS (SELECT word, is_title, page_id, any_value(doc_delta) AS d, count(*) AS n, sum({_SIZE.format("pos_delta", 6)}) AS bits FROM deltas GROUP BY ALL),
+z AS (SELECT word, is_title, count(*) AS df, CAST(sum(ceil(({_SIZE.format("d", 1)} + {_SIZE.format("n", 1)} + bits) / 8.0)) AS BIGINT) AS bytes FROM g GROUP BY ALL),
+v AS (SELECT word, is_title, row_number() OVER o AS i, coalesce(lag(word) OVER o, '') AS last, length(word) + 9 + {_LEB.format("df")} + {_LEB.format("bytes")} AS first
+  FROM z WINDOW o AS (ORDER BY word, is_title DESC)),
+{_paged("leaf", f"SELECT word, is_title, i, first - {_COMMON} AS size, first, length(word) + 18 AS need FROM v", 4096, 8, 8)},
+leaves AS (SELECT word, is_title, page, pos, CAST(CASE WHEN pos = 8 THEN first ELSE size END AS BIGINT) AS bytes FROM leaf_p),
+sep AS (SELECT page, arg_min(word, {{'w': word, 'b': NOT is_title}}) AS first_word, arg_max(word, {{'w': word, 'b': NOT is_title}}) AS last_word FROM leaves GROUP BY page)"""
+_LISTED = f"""{_TOPICS},
+kn AS (SELECT lower(url) AS key, max(topic_idx) AS topic_idx FROM topics GROUP BY 1),
+kl AS (SELECT title AS keyword, row_number() OVER (PARTITION BY title ORDER BY ord) - 1 AS place, topic_idx
+  FROM toc JOIN kn ON kn.key = lower({_URL.format("toc.url")}) WHERE title <> '' AND url <> '')"""
+_COLLATE = r"""lower(regexp_replace(keyword, '^[^\p{L}\p{N}]+', '')),
+  list_transform(string_split(keyword, ''), lambda c: {'c': lower(c), 'u': CASE WHEN regexp_matches(c, '^\p{Lu}$') THEN 1 ELSE 0 END}), keyword"""
+_LISTING = f"""WITH RECURSIVE {_LISTED},
+kc AS (SELECT keyword, count(*) AS n_topics, 2 * length(keyword) + 26 + 4 * count(*) AS bytes FROM kl GROUP BY keyword),
+{_paged("kb", f"SELECT *, row_number() OVER (ORDER BY {_COLLATE}) AS i, bytes AS size, bytes AS first, bytes + 1 AS need FROM kc", 2048, 12, 12)}"""
 _HEX = "lower(lpad(to_hex({0}), 2, '0'))"
 
 ORACLE = {
@@ -298,7 +388,7 @@ SELECT word, is_title, prefix_len, substring(word, prefix_len + 1) AS suffix FRO
     "outlinks": f"WITH {_REFS} SELECT page_id, ref, count(*) AS n FROM r GROUP BY ALL",
     "missing_refs": f"WITH {_REFS} SELECT DISTINCT ref FROM r WHERE {_URL.format('ref')} NOT IN (SELECT {_URL.format('url')} FROM p)",
     "directories": f"WITH {_DIRS} SELECT dir FROM dirs",
-    "directory_sort": f"""WITH {_DIRS}, a AS (SELECT path AS name, 1 AS section FROM paths UNION SELECT dir, 0 FROM dirs UNION SELECT '/', 0)
+    "directory_sort": f"""WITH {_DIRS}, a AS (SELECT path AS name, 1 AS section FROM paths UNION SELECT dir, 0 FROM dirs UNION SELECT unnest(['/', {', '.join(repr(d) for d in catalog.FIXED_DIRECTORIES)}]), 0)
 SELECT name, section, row_number() OVER (ORDER BY lower(name), name, section) - 1 AS rank FROM a""",
     "section_offsets": f"WITH {_P}, z AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS length FROM p) SELECT page_id, CAST(coalesce(sum(length) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", length FROM z",
     "toc_entries": f"WITH {_TOC} SELECT ord, depth, title, url, page_id FROM toc",
@@ -312,6 +402,34 @@ SELECT keyword, row_number() OVER (ORDER BY lower(regexp_replace(keyword, '^[^\p
   list_transform(string_split(keyword, ''), lambda c: {{'c': lower(c), 'u': CASE WHEN regexp_matches(c, '^\p{{Lu}}$') THEN 1 ELSE 0 END}}), keyword) - 1 AS rank FROM k""",
     "keyword_resolve": f"WITH {_TOPICS}, g AS (SELECT lower({_URL.format('url')}) AS key, max(topic_idx) AS topic_idx FROM topics GROUP BY 1) SELECT title AS keyword, topic_idx FROM toc JOIN g ON g.key = lower({_URL.format('toc.url')}) WHERE title <> '' AND url <> ''",
     "strings_heap": _packing(_P, rf"SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, length(trim(regexp_replace(regexp_replace(regexp_extract(html, '{text.TITLE}', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) + 1 AS size FROM p", 4096, 0, 1, "page_id"),
+    "leaf_packing": f"{_LEAVES} SELECT word, is_title, page, pos, bytes FROM leaves",
+    "separator_keys": f"{_LEAVES} SELECT page, first_word, last_word FROM sep",
+    "leaf_table": f"{_LEAVES} {_blocks('leaves', 4096)}",
+    "leaf_free_space": f"{_LEAVES} SELECT count(*) AS leaves, CAST(sum(free) AS BIGINT) AS total_free FROM ({_blocks('leaves', 4096)})",
+    "leaf_nodes": f"""{_LEAVES},
+sv AS (SELECT page AS leaf, last_word AS word, coalesce(lag(last_word) OVER (ORDER BY page), '') AS last FROM sep WHERE (SELECT count(*) FROM sep) > 1),
+{_paged("node", f"SELECT leaf, word, leaf + 1 AS i, length(word) + 8 - {_COMMON} AS size, length(word) + 8 AS first, length(word) + 8 - {_COMMON} AS need FROM sv", 4096, 2, 2)}
+SELECT leaf, word, page, pos FROM node_p""",
+    "keyword_lists": f"WITH {_LISTED} SELECT keyword, place, topic_idx FROM kl",
+    "keyword_blocks": f"{_LISTING} SELECT keyword, n_topics, i - 1 AS rank, page, pos, bytes FROM kb_p",
+    "keyword_block_table": f"{_LISTING} {_blocks('kb_p', 2048)}",
+    "topics_table": f"""WITH RECURSIVE {_TOPICS},
+kd AS (SELECT ord, coalesce(lead(depth) OVER (ORDER BY ord) > depth, false) AS c FROM toc),
+{_paged("to", "SELECT ord, row_number() OVER (ORDER BY depth, ord) AS i, CASE WHEN c THEN 28 ELSE 20 END AS size, size AS first, size AS need FROM toc JOIN kd USING (ord)", 4096, 0, 0, 1)},
+kn AS (SELECT lower(url) AS key, max(topic_idx) AS topic_idx FROM topics GROUP BY 1),
+nm AS (SELECT kn.topic_idx, max(to_p.page * 4096 + to_p.pos) AS toc_off, min(to_p.i) AS bfs, arg_min(title, to_p.i) AS toc_title
+  FROM toc JOIN to_p USING (ord) JOIN kn ON kn.key = lower({_URL.format("toc.url")}) GROUP BY 1),
+ow AS (SELECT {_URL.format("url")} AS url, arg_min(trim(regexp_replace(regexp_replace(regexp_extract(html, '{text.TITLE}', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), page_id) AS own_title FROM p GROUP BY 1),
+al AS (SELECT t.topic_idx, t.url, flags, bfs, coalesce(toc_off, 0) AS toc_off, coalesce(own_title, toc_title, '') AS title FROM topics t LEFT JOIN nm USING (topic_idx) LEFT JOIN ow ON ow.url = t.url),
+{_paged("ti", "SELECT topic_idx, row_number() OVER (ORDER BY bfs IS NULL, bfs, topic_idx) AS i, length(title) + 1 AS size, size AS first, size AS need FROM al WHERE title <> ''", 4096, 1, 0)},
+{_paged("us", "SELECT topic_idx, topic_idx + 1 AS i, length(url) + 9 AS size, size AS first, size AS need FROM al", 4096, 1, 0)},
+uh0 AS (SELECT topic_idx, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(url, ''), lambda c: c <> ''),
+  lambda c: CASE WHEN c = '/' THEN 44 WHEN unicode(c) > 90 THEN unicode(c) - 80 ELSE unicode(c) - 48 END::BIGINT)), lambda h, o: (43 * h + o) & 4294967295) AS h FROM al),
+uh AS (SELECT topic_idx, row_number() OVER (ORDER BY CASE WHEN h = 0 THEN 1 ELSE h END, topic_idx) - 1 AS r FROM uh0)
+SELECT topic_idx, toc_off, coalesce(ti_p.page * 4096 + ti_p.pos, 4294967295) AS title_off, r // 341 * 4096 + r % 341 * 12 AS urltbl_off, us_p.page * 4096 + us_p.pos AS urlstr_off, flags
+FROM al LEFT JOIN ti_p USING (topic_idx) JOIN us_p USING (topic_idx) JOIN uh USING (topic_idx)""",
+    "topic_pages": f"WITH {_PATHS} SELECT page_id, lower(regexp_replace(parse_filename(path), '([^.])\\.[^.]*$', '\\1')) AS name FROM paths WHERE contains(lower(string_split(path, '/')[-1]), '.ht')",
+    "frame_padding": f"WITH {_P} SELECT CAST(coalesce(sum(strlen(html)), 0) AS BIGINT) AS total, CAST(ceil(coalesce(sum(strlen(html)), 0) / 32768.0) * 32768 AS BIGINT) AS padded FROM p",
     "varint_len": f"""WITH {_P}, z AS (SELECT DISTINCT CAST(strlen(html) AS BIGINT) AS value FROM p), g AS (SELECT value, {_groups("value")} AS i FROM z)
 SELECT value, array_to_string(list_transform(i, lambda k: {_HEX.format("((value >> (7 * k)::INT) & 127) + CASE WHEN k < len(i) - 1 THEN 128 ELSE 0 END")}), '') AS leb128,
   array_to_string(list_transform(i, lambda k: {_HEX.format("((value >> (7 * (len(i) - 1 - k))::INT) & 127) + CASE WHEN k < len(i) - 1 THEN 128 ELSE 0 END")}), '') AS encint FROM g""",

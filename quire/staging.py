@@ -79,3 +79,18 @@ def ranked(df: DataFrame, keys: list, stage: Staging, name: str = "rank", value:
         inside = F.coalesce(F.sum("q_value").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = rows.withColumn("q_inside", inside).join(F.broadcast(parts), "part")  # one row per range
     return out.withColumn(name, (F.col("q_base") + F.col("q_inside")).cast("bigint")).drop("part", "place", "q_base", "q_inside", "q_value")
+
+
+def preceded(df: DataFrame, keys: list, columns: dict[str, str], stage: Staging) -> DataFrame:
+    """``df`` with the values that ``columns`` (new name: column) have in the row before this one in the order of ``keys``.
+
+    Rows are dealt by ranges, so a hot key is spread over several; the first row of a range takes the last one of the range before.
+    """
+    rows = globally_ordered(df, keys, stage)
+    ends = rows.groupBy("part").agg(F.max_by(F.struct(*columns.values()), "place").alias("q_last"))
+    before = F.lag("q_last").over(Window.orderBy("part"))
+    ends = ends.select("part", before.alias("q_last"))
+    inside = Window.partitionBy("part").orderBy("place")
+    out = rows.withColumn("q_lag", F.lag(F.struct(*columns.values())).over(inside)).join(F.broadcast(ends), "part")  # one row per range
+    out = out.withColumn("q_lag", F.when(F.col("place") == 0, F.col("q_last")).otherwise(F.col("q_lag")))
+    return out.withColumns({k: F.col("q_lag")[c] for k, c in columns.items()}).drop("part", "place", "q_lag", "q_last")

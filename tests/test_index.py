@@ -80,7 +80,8 @@ def brute(sizes, page, first=0):
         if at + n > page:
             p, at = p + 1, 0
         out.append((p, at))
-        p, at = p + max(n - 1, 0) // page, min(at + n, page)
+        at += n
+        p, at = p + max(at - 1, 0) // page, at - max(at - 1, 0) // page * page
     return out
 
 
@@ -91,6 +92,43 @@ def test_packing(spark, sizes):
     assert got == brute(sizes, 4096)
 
 
+def test_packing_with_headers(spark):
+    """Pages begin behind a header, a row that begins one is larger, and rows need more room than they take."""
+    rng = random.Random(3)
+    rows = [(i, n, n + rng.randint(0, 40), n + rng.randint(0, 60)) for i, n in enumerate(rng.randint(20, 160) for _ in range(900))]
+    want, page, at = [], 2, 12
+    for _, size, first, need in rows:
+        if at > 12 and at + need > 1000:
+            page, at = page + 1, 12
+        want.append((page, at))
+        at += first if at == 12 else size
+    df = spark.createDataFrame(rows, "i bigint, size bigint, first bigint, need bigint")
+    got = pack(df, [F.col("i")], "size", 1000, 12, 2, 12, F.col("first"), F.col("need")).orderBy("i").collect()
+    assert [(r["page"], r["pos"]) for r in got] == want
+
+
+@pytest.mark.parametrize("n", [0, 3, 20_000])
+def test_keyword_tree(spark, n):
+    """Against the same levels made in memory; 20,000 keywords make three levels of blocks."""
+    lists = spark.range(n).select(F.concat(F.lit("keyword "), F.lpad(F.col("id").cast("string"), 8, "0")).alias("keyword"), F.lit(0).alias("place"), F.lit(1).alias("topic_idx"))
+    blocks = catalog.keyword_blocks(lists)
+    first = {r["page"]: r["k"] for r in blocks.groupBy("page").agg(F.min("keyword").alias("k")).collect()}
+    want, level, used = [], sorted(first.items()), len(first)
+    depth = 0
+    while len(level) > 1:
+        depth, above, at = depth + 1, [], 8
+        for child, keyword in level[1:]:
+            size = 2 * len(keyword) + 22 + 4
+            if not above or at > 8 and at + size >= 2048:
+                above.append((used + len(above), keyword))
+                at = 8
+            want.append((depth, above[-1][0], at, keyword, child))
+            at += size
+        used, level = used + len(above), above
+    got = sorted(tuple(r) for r in catalog.keyword_tree(blocks).collect())
+    assert got == want and depth == {0: 0, 3: 0, 20_000: 2}[n]
+
+
 def test_content_blocks(spark, mini):
     many = spark.range(40).crossJoin(mini.select("html")).select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.repeat("html", 50), F.col("id").cast("string")).alias("html"))
     whole = b"".join(r["html"].encode() for r in many.orderBy("page_id").collect())

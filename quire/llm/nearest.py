@@ -31,7 +31,9 @@ PART = 2
 PARALLEL = 4.0
 ROUNDS = 3
 BLOCK = 16_384
-QUERIES = 512
+QUERIES = 4_096
+#: Queries whose tables a task holds at once (CENTRES ** 2 numbers for two parts each).
+TABLES = 256
 RERANK = 200
 #: Standard deviations of the scan's error beyond which it isn't made up for.
 REACH = 3.0
@@ -207,7 +209,9 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SA
         codes = np.frombuffer(b"".join(one["code"]), np.uint8).reshape(len(one), -1)
         x = np.frombuffer(b"".join(one["v"]), float).reshape(len(one), -1)
         q = pad(np.array(of_queries["v"].tolist(), float))
-        found = search_block(of_index["vec_id"].to_numpy(), at, codes, x, of_queries["vec_id"].to_numpy(), q, centres, k, rerank)
+        ids, asked_ids, found = of_index["vec_id"].to_numpy(), of_queries["vec_id"].to_numpy(), []
+        for i in range(0, len(q), TABLES):
+            found += search_block(ids, at, codes, x, asked_ids[i : i + TABLES], q[i : i + TABLES], centres, k, rerank)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")

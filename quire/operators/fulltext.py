@@ -89,15 +89,17 @@ def wlc_sizes(occ: DataFrame) -> DataFrame:
 
 
 def wlc_payload(occ: DataFrame) -> DataFrame:
-    """(word, is_title, payload): the lists themselves, as the bytes of their bit strings, page after page."""
+    """(word, is_title, page_id, payload): the lists themselves, whole bytes per page; a word's list is its pages' payloads in their order.
+
+    They stay one row per page, so that the list of a frequent word, which may hold every page, is no single row.
+    """
     doc, count, place = ROOTS
     deltas = posting_deltas(occ).groupBy("word", "is_title", "page_id").agg(F.first("doc_delta").alias("d"), F.sort_array(F.collect_list(F.struct("pos", "pos_delta"))).alias("x"))
     bits = F.concat(codecs.scale_root_bits(F.col("d"), doc), codecs.scale_root_bits(F.size("x").cast("bigint"), count), F.array_join(F.transform("x", lambda p: codecs.scale_root_bits(p["pos_delta"], place)), ""))
     deltas = deltas.select("word", "is_title", "page_id", bits.alias("bits"))
     padded = F.rpad("bits", (F.ceil(F.length("bits") / 8) * 8).cast("int"), F.lit("0"))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(padded) / 8 - 1).cast("int")), lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
-    pages = deltas.select("word", "is_title", F.struct("page_id", octets.alias("h")).alias("p"))
-    return pages.groupBy("word", "is_title").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["h"]), "")).alias("payload"))
+    return deltas.select("word", "is_title", "page_id", F.unhex(octets).alias("payload"))
 
 
 def vocabulary(occ: DataFrame, name: str = "rank") -> DataFrame:

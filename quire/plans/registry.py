@@ -68,7 +68,7 @@ def wlc_bits(spark, sf_dir):
 
 
 def wlc_payload(spark, sf_dir):
-    return fulltext.wlc_payload(_occ(spark, sf_dir)).select("word", "is_title", F.length("payload").cast("bigint").alias("wlc_bytes"))
+    return fulltext.wlc_payload(_occ(spark, sf_dir)).select("word", "is_title", "page_id", F.lower(F.hex("payload")).alias("payload"))
 
 
 def vocab_order(spark, sf_dir):
@@ -271,6 +271,8 @@ occ AS (
   UNION ALL
   SELECT page_id, false, unnest(bw), CAST(len(tw) + generate_subscripts(bw, 1) - 1 AS BIGINT) FROM f)"""
 _SIZE = "greatest(length(ltrim(bin({0}), '0')) - {1}, 0) + 1 + greatest(length(ltrim(bin({0}), '0')) - 1, {1})"
+_BIN = "ltrim(bin({0}), '0')"
+_CODE = f"(repeat('1', greatest(length({_BIN}) - {{1}}, 0)) || '0' || CASE WHEN length({_BIN}) <= {{1}} THEN lpad({_BIN}, {{1}}, '0') ELSE substr({_BIN}, 2) END)"
 _DELTAS = f"""{_OCC},
 dd AS (SELECT word, is_title, page_id, page_id - coalesce(lag(page_id) OVER (PARTITION BY word, is_title ORDER BY page_id), 0) AS doc_delta
   FROM (SELECT DISTINCT word, is_title, page_id FROM occ)),
@@ -378,7 +380,9 @@ SELECT count(*) AS total_words, CAST(sum(length(word)) AS BIGINT) AS total_lengt
   (SELECT CAST(sum(length(word)) AS BIGINT) FROM e) AS entry_length, count(DISTINCT page_id) AS pages FROM occ""",
     "posting_deltas": f"WITH {_DELTAS} SELECT word, is_title, page_id, pos, doc_delta, pos_delta FROM deltas",
     "wlc_bits": _WLC,
-    "wlc_payload": _WLC,
+    "wlc_payload": f"""WITH {_DELTAS},
+g AS (SELECT word, is_title, page_id, {_CODE.format("any_value(doc_delta)", 1)} || {_CODE.format("count(*)", 1)} || string_agg({_CODE.format("pos_delta", 6)}, '' ORDER BY pos) AS bits FROM deltas GROUP BY word, is_title, page_id)
+SELECT word, is_title, page_id, lower(hex(unbin(rpad(bits, CAST(ceil(length(bits) / 8.0) * 8 AS INTEGER), '0')))) AS payload FROM g""",
     "vocab_order": f"WITH {_OCC} SELECT word, is_title, row_number() OVER (ORDER BY word, is_title DESC) - 1 AS rank FROM (SELECT DISTINCT word, is_title FROM occ)",
     "front_coding": f"""WITH {_OCC}, v AS (SELECT word, is_title, coalesce(lag(word) OVER (ORDER BY word, is_title DESC), '') AS last FROM (SELECT DISTINCT word, is_title FROM occ)),
 c AS (SELECT *, CAST(len(list_filter(range(1, least(length(word), length(last)) + 1), lambda i: word[1:i] = last[1:i])) AS BIGINT) AS prefix_len FROM v)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where the session names none (tests)."""
+    """spark.checkpoint.dir, or a folder of our own where a local session names none (tests); elsewhere that is an error, as executors couldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quire.staging.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.quire.staging.dir", named)
     return named.rstrip("/")

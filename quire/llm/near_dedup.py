@@ -23,7 +23,7 @@ Method
      share at least t(a, b) = e(a) + e(b) shingles, with e(a) = |d(a)| / 2 - |a| / 18. Where t <= 0, both are linked with h.
    - So only nodes that aren't linked with h look for others, by a prefix filter on the differences: sets that share t elements share
      one among the first |d| - t + 1 of each, in one order for all: the shingles that h lacks by rarity (a shingle that no
-     other node adds uses up a place, but meets nobody), then those that h has. Nodes meet by classes of e, so that t is known before they do.
+     other node adds uses up a place, but meets nobody), then those that h has. Nodes meet by the straggler's class of e, so that t is known before they do.
      Far from the hub t is large, and a straggler's own edits, which nobody shares, use all places up. Before a pair
      is made, bitmaps of both differences bound what they share: no more than the bits that both set, and the elements
      of either that fell on one bit.
@@ -247,18 +247,25 @@ def _links_by_difference(around: DataFrame, stage: Staging) -> DataFrame:
     own = own.withColumn("fallen", F.col("d") - sum(F.bit_count(b) for b in bits))
     own = own.withColumn("single", F.size("added") - F.size("x")).withColumn("x", F.concat("x", F.sort_array("lacks"))).drop("added", "lacks")
     own = stage.table(own.withColumn("c", F.floor(F.col("e") / F.col("w"))), "own", codec="uncompressed")
+    # Per hub: the lowest class of any node, and the classes of strays (at most about CLASSES / 2). Only these are looked up.
+    classes = own.groupBy("hub").agg(F.min("c").alias("low"), F.collect_set(F.when(F.col("stray"), F.col("c"))).alias("classes"))
+    own = own.join(checked_broadcast(stage.table(classes, "classes")), "hub")
     reach = F.col("n") * (part * 100 / THRESHOLD) + 1  # how far the e of two linked nodes can lie apart
+    first, last = (F.floor((F.col("e") + x) / F.col("w")) for x in (-reach, reach))
 
-    def keys(rows: DataFrame, mine: str, other: str) -> DataFrame:
-        at = rows.withColumn("o", F.explode(F.sequence(F.floor((F.col("e") - reach) / F.col("w")), F.floor((F.col("e") + reach) / F.col("w")))))
-        need = F.greatest(F.lit(1), F.ceil(F.col("e") + F.col("o") * F.col("w") - 1e-6))
+    def keys(rows: DataFrame, other: Column) -> DataFrame:
+        """``rows`` under all shingles that they may first share with nodes of class ``other`` or a higher one."""
+        need = F.greatest(F.lit(1), F.ceil(F.col("e") + other * F.col("w") - 1e-6))
         places = (F.col("d") - need + 1 - F.col("single")).cast("int")
-        at = at.where(places > 0).select("hub", "node", "label", "n", "d", *bits, "fallen", F.col("c").alias(mine), F.col("o").alias(other), "single", F.posexplode(F.slice("x", F.lit(1), places)).alias("i", "s"))
-        # rest: how many of the difference come at this place or later.
-        return at.withColumn("rest", F.col("d") - F.col("single") - F.col("i")).drop("single", "i")
-
-    x, y = keys(own.where("stray"), "cx", "cy").alias("x"), keys(own, "cy", "cx").alias("y")
-    met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.cx") == F.col("y.cx")) & (F.col("x.cy") == F.col("y.cy"))
+        at = rows.where(places > 0).select("hub", "node", "label", "n", "d", "e", "w", *bits, "fallen", "c", "cx", "single", F.posexplode(F.slice("x", F.lit(1), places)).alias("i", "s"))
+        # rest: how many of the difference come at this place or later; upto: the highest class for which the place is needed.
+        at = at.withColumn("rest", F.col("d") - F.col("single") - F.col("i"))
+        return at.withColumn("upto", F.floor((F.col("rest") - F.col("e") + 1e-6) / F.col("w"))).drop("single", "i", "e", "w")
+
+    # A straggler is listed once a place, under its own class; the others under the classes of stragglers within their reach.
+    x = keys(own.where("stray").withColumn("cx", F.col("c")), F.greatest(first, "low")).alias("x")
+    y = keys(own.withColumn("cx", F.explode(F.filter("classes", lambda o: o.between(first, last)))), F.col("cx")).alias("y")
+    met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.cx") == F.col("y.cx")) & (F.col("x.upto") >= F.col("y.c"))
     size = F.col("x.n") + F.col("y.n")
     fits = (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"))
     both_set = sum(F.bit_count(F.col(f"x.{b}").bitwiseAND(F.col(f"y.{b}"))) for b in bits) + F.least("x.fallen", "y.fallen")

@@ -15,7 +15,7 @@ follows it. (Texts with a blank or line feed next to white space of any kind, or
 whole: the splitting keeps runs of white space together.)
 
 Defined results: null counts as the empty text, which has the END token alone; rows with a null doc_id come first; rows
-that share a doc_id stand next to each other in any order; very long texts make a block of their own; an empty table gives
+that share a doc_id stand next to each other, by a hash of their tokens; very long texts make a block of their own; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -289,7 +289,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None) -> Non
         if held:
             yield close()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # Rows that share an id, or have none, are spread by their tokens: ranges may part them, and their order is kept.
+    ordered = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("ids"))
     written = ordered.mapInArrow(released(blocks), "part bigint, block bigint, tokens bigint, doc_ids array<bigint>, counts binary, control binary, data binary")
     written.write.option("compression", "zstd").parquet(f"{out}/blocks")
     stage.drop(tokens)

@@ -290,6 +290,21 @@ def test_token_files(spark, docs, nothing):
     assert token_files.token_files(nothing).count() == 0
 
 
+def test_shared_ids_of_token_files(spark):
+    """Rows without an id, or of one id, are spread over the files; their tokens are whole and laid end to end."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 50} of {i}") for i in range(300)] + [(7, "same")] * 5
+    want = [(d, np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")) for d, t in rows]
+    got = token_files.token_files(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("start").collect()
+    names = [r["doc_id"] for r in got]
+    assert names == sorted(names, key=lambda d: -1 if d is None else d)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    assert sorted(((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in got)) == sorted((d or -1, len(x), zlib.crc32(x.tobytes())) for d, x in want)
+
+
 def test_white_space_runs_of_token_files(spark):
     """Blanks and line feeds next to white space of every kind, on both sides, as the library encodes the whole text."""
     import public_tokenizers

@@ -1,5 +1,5 @@
 """Packing of ordered entries into fixed pages: an entry that doesn't fit begins the next page. One longer than a page covers
-several, and the next one may begin in the last of them.
+several, and the next one may begin in the last of them; or, in tables of blocks, it makes a block of its own.
 
 Where an entry lands depends on all before it, but only through one number, the place reached in the page. So each range of
 the order computes, in parallel, where it ends for every place it could begin at; places soon run together, so a range is
@@ -19,7 +19,7 @@ from quire.staging import Staging, globally_ordered
 PAGE = 4096
 
 
-def _ends(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, header: int) -> tuple[np.ndarray, np.ndarray]:
+def _ends(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, header: int, spans: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(pages turned, place reached) after the entries, for each place 0..page at which they could begin."""
     group = np.arange(page + 1)  # the state that each beginning has run into
     place = np.arange(page + 1)
@@ -28,6 +28,8 @@ def _ends(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, head
     for s, f, n in zip(size, first, need, strict=True):
         over = (place > header) & (place + n > page)
         place = np.where(over | (place == header), header + f, place + s)
+        # A block that is full or longer turns before the next entry, however long it is.
+        place = place if spans else np.minimum(place, page)
         more = np.maximum(place - 1, 0) // page
         turned += over + more
         place -= more * page
@@ -38,7 +40,7 @@ def _ends(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, head
     return turned[group] + lead, place[group]
 
 
-def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: int = 0, first_page: int = 0, header: int = 0, first: Column | None = None, need: Column | None = None) -> DataFrame:
+def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: int = 0, first_page: int = 0, header: int = 0, first: Column | None = None, need: Column | None = None, spans: bool = True) -> DataFrame:
     """``df`` with page and pos of each row.
 
     Later pages begin at ``header``. ``first``: the size of a row that begins a page (default: its size); ``need``: the room that has to
@@ -50,7 +52,7 @@ def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: in
     sizes = ["q_size", "q_first", "q_need"]
 
     def ends(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        turned, place = _ends(*(pdf.sort_values("place")[c].to_numpy(np.int64) for c in sizes), page, header)
+        turned, place = _ends(*(pdf.sort_values("place")[c].to_numpy(np.int64) for c in sizes), page, header, spans)
         at = np.flatnonzero(np.concatenate(([True], (np.diff(turned) != 0) | (np.diff(place) != 0))))
         return pd.DataFrame({"part": [key[0]], "since": [at.tolist()], "turned": [turned[at].tolist()], "reached": [place[at].tolist()]})
 
@@ -74,7 +76,7 @@ def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: in
             pages.append(at_page)
             places.append(at_place)
             at_place += f if at_place == header else s
-            more = max(at_place - 1, 0) // page
+            more = max(at_place - 1, 0) // page if spans else 0
             at_page, at_place = at_page + more, at_place - more * page
         return pd.DataFrame({"part": pdf["part"], "place": pdf["place"], "q_page": pages, "q_pos": places})
 

@@ -108,6 +108,27 @@ def test_packing_with_headers(spark):
     assert [(r["page"], r["pos"]) for r in got] == want
 
 
+def same_as_sql(spark, name, folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, folder)
+    columns = sorted(got.columns)
+    key = lambda row: tuple(map(repr, row))
+    rows = sorted(map(tuple, got.select(*columns).collect()), key=key)
+    assert rows == sorted(want.select(*[f'"{c}"' for c in columns]).fetchall(), key=key)
+    return rows
+
+
+@pytest.mark.parametrize("name", ["keyword_blocks", "keyword_block_table"])
+def test_keywords_longer_than_a_block(spark, tmp_path, name):
+    """A keyword of 1,200 topics is one block, and the next keyword begins another."""
+    link = lambda i: f'<a href="/{i}">{i}</a>'
+    html = "<nav>" + "".join(map(link, ["long", *range(3)])) + "</nav>"
+    spark.range(1200).selectExpr("id as page_id", "concat('http://a.example/', id) as url", f"'{html}' as html").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(same_as_sql(spark, name, str(tmp_path))) == 4
+
+
 @pytest.mark.parametrize("n", [0, 3, 20_000])
 def test_keyword_tree(spark, n):
     """Against the same levels made in memory; 20,000 keywords make three levels of blocks."""

@@ -19,8 +19,34 @@ from quire.staging import Staging, globally_ordered
 PAGE = 4096
 
 
+def _page_starts(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, header: int, spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(bytes before each entry and after all, bytes up to which each needs room, by entry that begins a page the one that begins the next).
+
+    None where that is not all there is to tell: an entry is longer than its page, or needs room beyond what the next one needs.
+    """
+    upto = np.concatenate(([0], np.cumsum(size)))
+    room = upto[:-1] + need
+    if (np.diff(room) < 0).any() or (need < 1).any() or (spans and ((size > need).any() or (header + first > page).any())):
+        return None
+    after = np.searchsorted(room, page - header - first + upto[1:], side="right")
+    return upto, room, np.maximum(after, np.arange(1, len(size) + 1))
+
+
 def _ends(size: np.ndarray, first: np.ndarray, need: np.ndarray, page: int, header: int, spans: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(pages turned, place reached) after the entries, for each place 0..page at which they could begin."""
+    if known := _page_starts(size, first, need, page, header, spans):
+        upto, room, after = known
+        n, at = len(size), np.maximum(np.arange(page + 1), header)  # no entry begins within the header
+        begins = np.where(at == header, 0, np.searchsorted(room, page - at, side="right"))
+        turned, place = (at > header).astype(np.int64), at + upto[-1]
+        some, back = np.unique(begins, return_inverse=True)
+        last, more = np.minimum(some, n - 1), np.zeros(len(some), np.int64)
+        while (go := after[last] < n).any():
+            more += go
+            last = np.where(go, after[last], last)
+        turned = np.where(begins < n, turned + more[back], 0)
+        place = np.where(begins < n, (header + first[last] + upto[-1] - upto[last + 1])[back], place)
+        return turned, place if spans else np.minimum(place, page)
     group = np.arange(page + 1)  # the state that each beginning has run into
     place = np.arange(page + 1)
     turned = np.zeros(page + 1, np.int64)
@@ -69,6 +95,17 @@ def pack(df: DataFrame, keys: list, size: str, page: int = PAGE, first_place: in
     def place_all(key, pdf: pd.DataFrame) -> pd.DataFrame:
         at_page, at_place = begin[key[0]]
         pdf = pdf.sort_values("place")
+        size, first, need = (pdf[c].to_numpy(np.int64) for c in sizes)
+        if known := _page_starts(size, first, need, page, header, spans):
+            upto, room, after = known
+            begins = [0 if at_place <= header else int(np.searchsorted(room, page - at_place, side="right"))]
+            while begins[-1] < len(size):
+                begins.append(int(after[begins[-1]]))
+            begins, row = np.array(begins[:-1], np.int64), np.arange(len(size))
+            turn = np.searchsorted(begins, row, side="right")  # pages begun up to a row
+            since = np.append(begins, 0)[turn - 1] if len(begins) else row
+            inside = np.where(turn == 0, at_place + upto[:-1], np.where(row == since, header, header + first[since] + upto[:-1] - upto[np.minimum(since + 1, len(size))]))
+            return pd.DataFrame({"part": pdf["part"], "place": pdf["place"], "q_page": at_page + turn - (at_place <= header), "q_pos": inside})
         pages, places = [], []
         for s, f, n in zip(*(pdf[c] for c in sizes), strict=True):
             if at_place > header and at_place + n > page:

@@ -2,9 +2,11 @@
 
 import os
 import random
+import time
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,30 @@ def test_packing(spark, sizes):
     assert got == brute(sizes, 4096)
 
 
+def test_pages_at_once():
+    """Where entries fill pages one after the other, ends are found page by page; the same as entry by entry."""
+    from quire.operators import packing
+
+    rng = np.random.default_rng(1)
+    for page, header, spans, most in ((4096, 0, True, 60), (1000, 12, True, 900), (2048, 12, False, 5000), (2048, 8, False, 300)):
+        for n in (1, 2, 700):
+            size = rng.integers(1, most, n)
+            need = size + (header > 0)
+            assert packing._page_starts(size, size, need, page, header, spans)
+            got = packing._ends(size, size, need, page, header, spans)
+            for begin in {header, header + 1, page // 2, page - 1, page}:
+                turned, at = 0, begin
+                for s, k in zip(size.tolist(), need.tolist(), strict=True):
+                    if at > header and at + k > page:
+                        turned, at = turned + 1, header
+                    at += s
+                assert (got[0][begin], got[1][begin]) == (turned, at if spans else min(at, page)), (page, n, begin)
+    many = rng.integers(1, 40, 400_000)
+    began = time.process_time()
+    packing._ends(many, many, many, 4096, 0)
+    assert time.process_time() - began < 2
+
+
 def test_packing_with_headers(spark):
     """Pages begin behind a header, a row that begins one is larger, and rows need more room than they take."""
     rng = random.Random(3)

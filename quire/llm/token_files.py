@@ -240,13 +240,24 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        total = np.zeros(0, np.int64)
+        total, held, size = np.zeros(0, np.int64), [], 0
+
+        def add():
+            # A count has as many places as the vocabulary: one for many documents.
+            nonlocal total
+            n = np.bincount(np.concatenate(held))
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
+
         for batch in batches:
             for raw in batch.column("ids"):
-                n = np.bincount(_wide(open_.decompress(raw.as_py())))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
+                held.append(_wide(open_.decompress(raw.as_py())))
+                size += len(held[-1])
+                if size > BLOCK:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 

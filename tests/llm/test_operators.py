@@ -305,6 +305,15 @@ def test_shared_ids_of_token_files(spark):
     assert sorted(((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in got)) == sorted((d or -1, len(x), zlib.crc32(x.tobytes())) for d, x in want)
 
 
+def test_frequency_ranks_over_several_counts(spark):
+    """Ids are counted for many documents together, and these counts, of different widths, are added up."""
+    import zstandard
+
+    lists = [[], [7] * 300_000, [9] * 300_001 + [65_536], [2, 2], [40_000] * token_files.BLOCK]
+    rows = spark.createDataFrame([(zstandard.ZstdCompressor().compress(token_files._narrow(np.array(x, np.uint32))),) for x in lists], "ids binary").coalesce(1)
+    assert token_files.frequency_ranks(rows).tolist() == [40_000, 9, 7, 2, 65_536]
+
+
 def test_white_space_runs_of_token_files(spark):
     """Blanks and line feeds next to white space of every kind, on both sides, as the library encodes the whole text."""
     import public_tokenizers

@@ -6,13 +6,14 @@ token that say how many bytes it takes (1 to 4), four tokens to a byte; and ``da
 Ranks number the ids by falling frequency over all documents (ties by id), so that the most frequent 256 take one byte;
 the table of ranks, bounded by the vocabulary, is a file of its own beside the blocks.
 
-Decoding looks each control byte up in a table of four lengths, from which the places of all tokens follow by a running
-sum, and gathers the bytes by numpy indexing.
+Decoding looks each control byte up in a table of four lengths, which say where the bytes of the stream go in a table of
+numbers of fixed width.
 
-Each document ends with END. Texts are cut at single blanks and line feeds before encoding and equal pieces are encoded once: the
-vocabulary's own splitting cuts there if no other white space stands beside, and between a run of letters and a mark that
-follows it. (Texts with a blank or line feed next to white space of any kind, or with what may be a special token, are encoded
-whole: the splitting keeps runs of white space together.)
+Each document ends with END. Many texts are cut at once, by numpy over their bytes: before single blanks, around single line
+feeds, and between a letter and an ASCII mark behind it. The vocabulary's own splitting cuts there too, if no other white space stands
+beside. Arrow numbers the distinct pieces, and only those not met before go to the library. (Texts with a blank or line feed next to
+white space of any kind, or with what may be a special token, are encoded whole: the splitting keeps runs of white space together.)
+Ids are counted where they are made, so that the ranks cost no pass over them.
 
 Defined results: null counts as the empty text, which has the END token alone; rows with a null doc_id come first; rows
 that share a doc_id stand next to each other, by a hash of their tokens; very long texts make a block of their own; an empty table gives
@@ -21,8 +22,9 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
+import struct
 import sys
 import zlib
 
@@ -36,26 +38,69 @@ from quire.llm.common import Staging, checked_broadcast, partitions, released
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
-#: Tokens of a block (a longer document makes a block of its own) and pieces that a Python process remembers.
+#: Tokens of a block (a longer document makes a block of its own), bytes of text encoded at once, and pieces that a Python process
+#: remembers (new and older ones), none of more bytes than LONGEST.
 BLOCK = 1 << 19
+STEP = 1 << 24
 PIECES = 900_000
-
-
-MARKS = tuple(".,;:!?")
-#: Texts that hold one of these are encoded whole.
-WHOLE = ("  ", "\n\n", " \n", "\n ", "<|")
-#: White space besides blank and line feed (Python's \s, which holds all of Unicode's), and that next to one of these two.
+LONGEST = 64
+#: Words handed to the library at once.
+WORDS = 4096
+
+
+def _kinds() -> np.ndarray:
+    """What each byte may be: SEP, MARK or LETTER (ASCII), LESS, white space of another kind or an end (BEFORE) or beginning (AFTER) of one."""
+    kind = np.zeros(256, np.uint8)
+    kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = MARK
+    kind[[*range(65, 91), *range(97, 123)]] = LETTER
+    kind[list(b" \n")] = SEP
+    kind[ord("<")] |= LESS
+    for x in (*ASCII_SPACE, *WIDE_SPACE):
+        raw = x.encode()
+        kind[raw[-1]] |= BEFORE
+        kind[raw[0]] |= AFTER
+    return kind
+
+
+SEP, MARK, LETTER, LESS, BEFORE, AFTER = (1 << i for i in range(6))
+#: White space besides blank and line feed (Python's \s, which holds all of Unicode's).
 ASCII_SPACE = ("\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
 WIDE_SPACE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
-BESIDE = re.compile(r"[^\S \n][ \n]|[ \n][^\S \n]")
-
-
-def uncut(text: str) -> bool:
-    """Whether a text has to be encoded whole."""
-    if any(x in text for x in WHOLE):
-        return True
-    spaced = any(x in text for x in ASCII_SPACE) or (not text.isascii() and any(x in text for x in WIDE_SPACE))
-    return spaced and BESIDE.search(text) is not None
+KIND = _kinds()
+KIND_BYTES = KIND.tobytes()
+#: The bytes of the wide ones as numbers: of two bytes, of three.
+WIDE = [np.array([int.from_bytes(x.encode()) for x in WIDE_SPACE if len(x.encode()) == n]) for n in (2, 3)]
+
+
+def _white(text: np.ndarray, at: np.ndarray, ends: bool) -> np.ndarray:
+    """Whether white space of another kind than SEP ends (or begins) at these bytes of text."""
+    a, b, c = (text[np.clip(at + i, 0, len(text) - 1)].astype(np.int64) for i in ((-2, -1, 0) if ends else (0, 1, 2)))
+    two, one = (b << 8 | c, c) if ends else (a << 8 | b, a)
+    return np.isin(one, [ord(x) for x in ASCII_SPACE]) | np.isin(two, WIDE[0]) | np.isin(a << 16 | b << 8 | c, WIDE[1])
+
+
+def piece_starts(raw: bytes, edges: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts that follow one another; edges: where each text begins, and the end of the last."""
+    text, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(KIND_BYTES), np.uint8)
+    cut = (kind & SEP).view(bool)  # SEP is 1
+    at = np.flatnonzero(cut)
+    # Texts to leave whole. What stands beside a text's own end counts too: that costs time alone.
+    left, right = np.maximum(at - 1, 0), np.minimum(at + 1, len(text) - 1)
+    pair = at[1:][np.diff(at) == 1]
+    before, after = at[(kind[left] & BEFORE) > 0], at[(kind[right] & AFTER) > 0]
+    less = np.flatnonzero(kind & LESS)
+    less = less[text[np.minimum(less + 1, len(text) - 1)] == ord("|")]
+    odd = np.concatenate((pair, before[_white(text, before - 1, True)], after[_white(text, after + 1, False)], less))
+    # Marks behind a letter: an ASCII one, or U+00C0 to U+00FF without the two signs among them.
+    mark = np.flatnonzero(kind & MARK)
+    one, two = text[np.maximum(mark - 1, 0)], text[np.maximum(mark - 2, 0)]
+    cut[mark[((KIND[one] & LETTER) > 0) | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]] = True
+    line = at[text[at] == ord("\n")] + 1
+    cut[line[line < len(text)]] = True
+    for i in np.unique(np.searchsorted(edges, odd, "right") - 1):
+        cut[edges[i] : edges[i + 1]] = False
+    cut[edges[:-1][np.diff(edges) > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -64,90 +109,80 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         # The byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on.
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [b for b in range(256) if b not in plain]
-        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.letters = np.arange(256, dtype="<u4")
+        hidden = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
+        self.letters[hidden] = 256 + np.arange(len(hidden))
+        # Words alone go to the library in one text, a line feed between them, which no word holds.
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = Split(chr(self.letters[ord("\n")]), "isolated")
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.after, self.first = {}, {}
-        self.start, self.size, self.store = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
-        self.n, self.used, self.size[0] = 1, len(self.line), len(self.line)  # code 0: the line feed
-        self.store[: self.used] = self.line
-
-    def _one(self, piece: str, blank: bool) -> list[int] | None:
-        """Ids of letters with at most one mark behind them, straight from the model; None for other pieces."""
-        mark = piece[-1:] if piece[-1:] in MARKS else ""
-        word = piece[:-1] if mark else piece
-        if not word.isalpha():
-            return None
-        bare = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize("\u0120" + bare if blank else bare)]
-        return [*ids, *self.marks[mark]] if mark else ids
-
-    def _learn(self, table: dict, keys: list[str], blank: bool) -> None:
-        found = [self._one(k, blank) for k in keys]
-        other = [i for i, x in enumerate(found) if x is None]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([" " + keys[i] if blank else keys[i] for i in other], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        while self.n + len(keys) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(flat) > len(self.store):
-            self.store = np.resize(self.store, 2 * len(self.store))
-        at = slice(self.n, self.n + len(keys))
-        self.start[at] = self.used + np.cumsum(sizes) - sizes
-        self.size[at] = sizes
-        self.store[self.used : self.used + len(flat)] = flat
-        table.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
-        self.n += len(keys)
-        self.used += len(flat)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, END included."""
-        if self.n > PIECES:
-            self.forget()
-        whole = [i for i, t in enumerate(texts) if uncut(t)]
-        apart = set(whole)
-        lines = [""] if not texts else [x for i, t in enumerate(texts) for x in ([""] if i in apart else t.split("\n"))]
-        n_lines = np.fromiter((1 if i in apart else t.count("\n") + 1 for i, t in enumerate(texts)), np.int64, len(texts))
-        lists = [x.split(" ") for x in lines[: int(n_lines.sum())]]
-        heads = [x[0] for x in lists]
-        rest = [p for x in lists for p in x[1:]]
-        if new := list(set(rest).difference(self.after)):
-            self._learn(self.after, new, True)
-        if new := list(set(heads).difference(self.first)):
-            self._learn(self.first, new, False)
-        tail = np.fromiter(map(self.after.__getitem__, rest), np.int64, len(rest))
-        head = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        # Codes line by line: the line feed before every line but a text's first (code 0), then its pieces.
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        opens = np.ones(len(lists), np.int64)
-        opens[np.cumsum(n_lines) - n_lines] = 0
-        begin = np.cumsum(counts + opens) - counts
-        total = int((counts + opens).sum())
-        codes = np.zeros(total, np.int64)
-        mask = np.ones(total, bool)
-        mask[begin] = False
-        mask[begin[opens == 1] - 1] = False
-        codes[begin], codes[mask] = head, tail
-        begin = (begin - opens)[np.cumsum(n_lines) - n_lines]
-        size = self.size[codes].astype(np.int64)
-        upto = np.cumsum(size)
-        place = np.repeat(self.start[codes] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
-        flat = self.store[place]
-        bounds = np.concatenate(([0], upto))[np.concatenate((begin, [len(codes)]))]
-        out = [np.append(flat[a:b], np.uint32(END)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i in whole:
-            out[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, END], np.uint32)
-        return out
+        # Pieces and their ids as 32-bit integers; those of ``older`` that are met again move to ``known``.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as 32-bit integers."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of letters, with a blank before them or not."""
+        text = self.letters[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        raw, at = ids.tobytes(), np.flatnonzero(ids == self.line[0]) * 4
+        if len(self.line) != 1 or len(at) != len(words) - 1:
+            return self._encode(words)
+        return [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)]
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        found = {}
+        bare = [p.removeprefix(b" ") for p in pieces]
+        words = [p for p, x in zip(pieces, bare, strict=True) if len(p) <= LONGEST and (x.isalpha() or (not x.isascii() and x.decode("utf-8", "replace").isalpha()))]
+        for i in range(0, len(words), WORDS):
+            some = words[i : i + WORDS]
+            found.update(zip(some, self._encode_words(some), strict=True))
+        other = [p for p in pieces if p not in found]
+        ids = self._encode(other)
+        if len(self.known) > PIECES // 2:
+            self.known, self.older = {}, self.known
+        self.known.update(found)
+        self.known.update((p, x) for p, x in zip(other, ids, strict=True) if len(p) <= LONGEST)
+        found.update(zip(other, ids, strict=True))
+        return [found[p] for p in pieces]
+
+    def __call__(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of all texts (none is null), each followed by END, and where each text's begin, with the end of the last."""
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes() if edges[-1] > edges[0] else b""
+        edges = edges - edges[0]
+        starts = piece_starts(raw, edges) if raw else np.zeros(0, np.int64)
+        kind, number = (pa.binary(), np.int32) if len(raw) < 1 << 31 else (pa.large_binary(), np.int64)
+        cuts = np.append(starts, len(raw)).astype(number)
+        pieces = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+        # (Slices of the bytes: Arrow makes Python values one by one.)
+        bounds = np.frombuffer(pieces.dictionary.buffers()[1], number)[: len(pieces.dictionary) + 1].tolist()
+        distinct = pieces.dictionary.buffers()[2].to_pybytes() if len(starts) else b""
+        keys = [distinct[a:b] for a, b in itertools.pairwise(bounds)]
+        ids = list(map(self.known.get, keys))
+        new = []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            if (x := self.older.get(keys[i])) is None:
+                new.append(i)
+            else:
+                ids[i] = self.known[keys[i]] = x
+        if new:
+            for i, x in zip(new, self._learn([keys[i] for i in new]), strict=True):
+                ids[i] = x
+        # Pieces with END behind each text's last, then the ids of all of them end to end.
+        ends = np.searchsorted(starts, edges)
+        codes = np.insert(pieces.indices.to_numpy(), ends[1:], len(keys))
+        flat = pa.array([*ids, struct.pack("<I", END)], pa.large_binary()).take(pa.array(codes))
+        place = np.frombuffer(flat.buffers()[1], np.int64)[: len(codes) + 1]
+        return np.frombuffer(flat.buffers()[2], "<u4", int(place[-1]) // 4), place[ends + np.arange(len(ends))] // 4
 
 
 def _encoder(path: str | None) -> Encoder:
@@ -167,101 +202,107 @@ def length_table() -> np.ndarray:
     return ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
+def _width(most: int) -> int:
+    """Bytes of the integers that hold numbers up to ``most``: 1, 2 or 4."""
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of a stream of ranks."""
-    r = ranks.astype(np.uint32)
-    size = 1 + (r >= 1 << 8).astype(np.int64) + (r >= 1 << 16) + (r >= 1 << 24)
-    begin = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
-        there = size > k
-        data[begin[there] + k] = (r[there] >> np.uint32(8 * k)) & np.uint32(255)
+    width = _width(int(ranks.max(initial=0)))
+    r = np.ascontiguousarray(ranks, f"<u{width}")
+    there = np.ones((len(r), width), bool)
+    for k in range(1, width):
+        np.greater_equal(r, 1 << 8 * k, out=there[:, k])
     codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    codes[: len(r)] = size - 1
+    for k in range(1, width):
+        codes[: len(r)] += there[:, k]
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.tobytes(), data.tobytes()
+    return control.tobytes(), r.view(np.uint8).reshape(-1, width)[there].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of a stream, by table look-up."""
-    size = length_table()[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    begin = np.cumsum(size) - size
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)))
-    out = raw[begin].astype(np.uint32)
-    for k in range(1, 4):
-        there = np.flatnonzero(size > k)
-        if not len(there):
-            break
-        out[there] |= raw[begin[there] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    size = length_table()[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    width = {1: 1, 2: 2}.get(int(size.max(initial=1)), 4)
+    out = np.zeros((n, width), np.uint8)
+    out[size[:, None] > np.arange(width, dtype=np.uint8)] = np.frombuffer(data, np.uint8)
+    return out.reshape(-1).view(f"<u{width}").astype(np.uint32)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as compressed 32-bit integers."""
+    """(doc_id, n_tokens, ids): ids as compressed integers; besides, a row for each task with the ids it ``seen`` and how many ``times``."""
 
     def run(batches):
+        import pyarrow.compute as pc
         import zstandard
 
-        encode, squeeze = _encoder(path), zstandard.ZstdCompressor(level=3)
+        encode, squeeze, total = _encoder(path), zstandard.ZstdCompressor(level=3), np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "seen", "times"]
+        lists = pa.list_(pa.int64())
         for batch in batches:
-            ids, texts = batch.column("doc_id"), ["" if t is None else t for t in batch.column("text").to_pylist()]
+            # A null text may have bytes under it.
+            doc_ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
             at = 0
             while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < 1 << 22):
-                    size += len(texts[upto])
-                    upto += 1
-                found = encode(texts[at:upto])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, upto - at), pa.array([len(x) for x in found], pa.int64()), pa.array([squeeze.compress(_narrow(x)) for x in found], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+                ids, bounds = encode(texts.slice(at, upto - at))
+                total = _added(total, np.bincount(ids))
+                raw = [squeeze.compress(_narrow(ids[a:b])) for a, b in itertools.pairwise(bounds.tolist())]
+                none = pa.nulls(upto - at, lists)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, upto - at), pa.array(np.diff(bounds)), pa.array(raw, pa.binary()), none, none], names=names)
                 at = upto
+        seen = np.flatnonzero(total)
+        null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*null, pa.array([seen], lists), pa.array([total[seen]], lists)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(released(run), "doc_id bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(released(run), "doc_id bigint, n_tokens bigint, ids binary, seen array<bigint>, times array<bigint>")
+
+
+def _added(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    total = np.pad(total, (0, max(0, len(n) - len(total))))
+    total[: len(n)] += n
+    return total
 
 
 def _narrow(ids: np.ndarray) -> bytes:
-    """Low halves of all ids, then the high halves: the latter are zero for vocabularies up to 65,536 and cost nothing."""
-    return (ids & np.uint32(0xFFFF)).astype("<u2").tobytes() + (ids >> np.uint32(16)).astype("<u2").tobytes()
+    """As 16-bit integers where these hold all ids; else as 32-bit integers and a byte that makes the length odd."""
+    return ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else ids.astype("<u4").tobytes() + b"\0"
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    low, high = np.frombuffer(raw, "<u2").reshape(2, -1)
-    return low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
+    return np.frombuffer(raw, "<u4", len(raw) // 4) if len(raw) % 2 else np.frombuffer(raw, "<u2")
 
 
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:
-    """Ids by falling frequency over all documents; as many as the vocabulary has at most."""
+    """Ids by falling frequency over all documents; as many as the vocabulary has at most. Those not counted by ``encoded`` are here."""
 
     def count(batches):
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
         total, held, size = np.zeros(0, np.int64), [], 0
-
-        def add():
-            # A count has as many places as the vocabulary: one for many documents.
-            nonlocal total
-            n = np.bincount(np.concatenate(held))
-            total = np.pad(total, (0, max(0, len(n) - len(total))))
-            total[: len(n)] += n
-
         for batch in batches:
             for raw in batch.column("ids"):
                 held.append(_wide(open_.decompress(raw.as_py())))
                 size += len(held[-1])
                 if size > BLOCK:
-                    add()
+                    # A count has as many places as the vocabulary: one for many documents.
+                    total = _added(total, np.bincount(np.concatenate(held)))
                     held, size = [], 0
         if held:
-            add()
+            total = _added(total, np.bincount(np.concatenate(held)))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(released(count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    if "seen" in tokens.columns:
+        counts = tokens.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("x")).select(F.col("x.seen").alias("id"), F.col("x.times").alias("n"))
+    else:
+        counts = tokens.select("ids").mapInArrow(released(count), "id bigint, n bigint")
+    rows = counts.groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r["id"] for r in rows.orderBy(F.desc("n"), "id").collect()], np.uint32)
 
 
@@ -269,7 +310,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None) -> Non
     """Write ``docs`` (doc_id, text) as token files under ``out``: ``out/ranks`` and ``out/blocks``."""
     spark = docs.sparkSession
     stage = Staging(spark, "tokens")
-    tokens = stage.table(encoded(docs, path), "tokens", codec="uncompressed")
+    # Rows that share an id, or have none, are spread by their tokens: ranges may part them, and their order is kept.
+    tokens = stage.table(encoded(docs, path).withColumn("spread", F.xxhash64("ids")), "tokens", codec="uncompressed")
     ids = frequency_ranks(tokens)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{out}/ranks")
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
@@ -300,8 +342,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None) -> Non
         if held:
             yield close()
 
-    # Rows that share an id, or have none, are spread by their tokens: ranges may part them, and their order is kept.
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("ids"))
+    rows = tokens.where("ids is not null").select("doc_id", "spread", "ids")
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "spread").sortWithinPartitions("doc_id", "spread")
     written = ordered.mapInArrow(released(blocks), "part bigint, block bigint, tokens bigint, doc_ids array<bigint>, counts binary, control binary, data binary")
     written.write.option("compression", "zstd").parquet(f"{out}/blocks")
     stage.drop(tokens)

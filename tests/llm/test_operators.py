@@ -314,6 +314,37 @@ def test_frequency_ranks_over_several_counts(spark):
     assert token_files.frequency_ranks(rows).tolist() == [40_000, 9, 7, 2, 65_536]
 
 
+def test_words_of_token_files_are_encoded_once(monkeypatch):
+    """Marks behind a word make no new pieces of it, and pieces that are met again outlive the forgetting of others; all as the library encodes whole texts."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    tokenizer, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+
+    def same(texts):
+        ids, bounds = encoder(pa.array([t.encode() for t in texts], pa.large_binary()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    marks = [*"!#$%&()*+,-./:;=>?@[]^_`{|}~", "***", "...", "'s", "''s", "'"]
+    same([f"Über großen{m} großen{m}\ngroßen{m}" for m in marks] + ["", "", "\n", " ", "a×, b÷. ñ, 日本, हिन्दी."])
+    assert sum("großen" in p.decode() for p in encoder.known) == 2  # with a blank before it and without
+    monkeypatch.setattr(token_files, "PIECES", 20)
+    for i in range(5):
+        same([" ".join(f"again {'xyzuv'[i] * k}" for k in range(1, 15)), "x" * 200 + f" {i}"])
+    both = encoder.known | encoder.older
+    assert b" again" in both and b" x" not in both and len(both) < 80 and max(map(len, both)) <= token_files.LONGEST
+
+
+def test_ids_counted_while_encoding(spark, docs, nothing):
+    """The counts that go with the encoded texts rank the ids as a count of all stored ids does."""
+    tokens = token_files.encoded(docs).cache()
+    want = token_files.frequency_ranks(tokens.where("ids is not null").select("ids"))
+    assert len(want) and token_files.frequency_ranks(tokens).tolist() == want.tolist()
+    assert len(token_files.frequency_ranks(token_files.encoded(nothing))) == 0
+
+
 def test_white_space_runs_of_token_files(spark):
     """Blanks and line feeds next to white space of every kind, on both sides, as the library encodes the whole text."""
     import public_tokenizers

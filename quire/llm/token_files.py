@@ -6,8 +6,8 @@ token that say how many bytes it takes (1 to 4), four tokens to a byte; and ``da
 Ranks number the ids by falling frequency over all documents (ties by id), so that the most frequent 256 take one byte;
 the table of ranks, bounded by the vocabulary, is a file of its own beside the blocks.
 
-Decoding looks each control byte up in a table of four lengths, which say where the bytes of the stream go in a table of
-numbers of fixed width.
+Decoding looks each control byte up in a table of four lengths, from which the places of all tokens follow by a running
+sum, and gathers the bytes by numpy indexing.
 
 Each document ends with END. Many texts are cut at once, by numpy over their bytes: before single blanks, around single line
 feeds, and between a letter and an ASCII mark behind it. The vocabulary's own splitting cuts there too, if no other white space stands
@@ -41,11 +41,12 @@ END = 2
 #: Tokens of a block (a longer document makes a block of its own), bytes of text encoded at once, and pieces that a Python process
 #: remembers (new and older ones), none of more bytes than LONGEST.
 BLOCK = 1 << 19
-STEP = 1 << 24
+STEP = 1 << 23
 PIECES = 900_000
 LONGEST = 64
-#: Words handed to the library at once.
+#: Words handed to the library at once, and in one text.
 WORDS = 4096
+TOGETHER = 16
 
 
 def _kinds() -> np.ndarray:
@@ -109,17 +110,20 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         # The byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on.
         self.letters = np.arange(256, dtype="<u4")
         hidden = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
         self.letters[hidden] = 256 + np.arange(len(hidden))
-        # Words alone go to the library in one text, a line feed between them, which no word holds.
+        # Words alone go to the library several in one text, which it doesn't split: a byte stands between them that no UTF-8 text has
+        # and no token but its own, so no merge goes beyond a word.
         self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = Split(chr(self.letters[ord("\n")]), "isolated")
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.words.pre_tokenizer = None
+        vocabulary = self.tokenizer.get_vocab()
+        alone = [b for b in (0xFF, 0xFE, 0xC0, 0xC1) if [t for t in vocabulary if chr(self.letters[b]) in t] == [chr(self.letters[b])]]
+        self.between, self.line = bytes(alone[:1]), chr(self.letters[ord("\n")])
+        self.cut = vocabulary[chr(self.letters[alone[0]])] if alone else -1
         # Pieces and their ids as 32-bit integers; those of ``older`` that are met again move to ``known``.
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -131,12 +135,17 @@ class Encoder:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """The same for words of letters, with a blank before them or not."""
-        text = self.letters[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le")
-        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        raw, at = ids.tobytes(), np.flatnonzero(ids == self.line[0]) * 4
-        if len(self.line) != 1 or len(at) != len(words) - 1:
+        if not self.between:
             return self._encode(words)
-        return [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)]
+        some = b"\n".join(self.between.join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER))
+        texts = self.letters[np.frombuffer(some, np.uint8)].tobytes().decode("utf-32-le").split(self.line)
+        flat = []
+        for e in self.words.encode_batch_fast(texts, add_special_tokens=False):
+            flat += e.ids
+            flat.append(self.cut)
+        ids = np.array(flat, "<u4")
+        raw, at = ids.tobytes(), np.flatnonzero(ids == self.cut) * 4
+        return [raw[a:b] for a, b in zip([0, *(at[:-1] + 4).tolist()], at.tolist(), strict=True)]
 
     def _learn(self, pieces: list[bytes]) -> list[bytes]:
         found = {}
@@ -202,33 +211,34 @@ def length_table() -> np.ndarray:
     return ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
-def _width(most: int) -> int:
-    """Bytes of the integers that hold numbers up to ``most``: 1, 2 or 4."""
-    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
-
-
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of a stream of ranks."""
-    width = _width(int(ranks.max(initial=0)))
-    r = np.ascontiguousarray(ranks, f"<u{width}")
-    there = np.ones((len(r), width), bool)
-    for k in range(1, width):
-        np.greater_equal(r, 1 << 8 * k, out=there[:, k])
+    r, most = ranks, int(ranks.max(initial=0))
     codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    for k in range(1, width):
-        codes[: len(r)] += there[:, k]
+    more = [r >= 1 << 8 * k for k in range(1, 4) if most >> 8 * k]
+    for there in more:
+        codes[: len(r)] += there
+    begin = np.cumsum(codes[: len(r)], dtype=np.int64) - codes[: len(r)] + np.arange(len(r))
+    data = np.zeros(len(r) + sum(map(np.count_nonzero, more)), np.uint8)
+    data[begin] = r.astype(np.uint8)  # the low byte
+    for k, there in enumerate(more, 1):
+        at = np.flatnonzero(there)
+        data[begin[at] + k] = (r[at] >> np.uint32(8 * k)).astype(np.uint8)
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.tobytes(), r.view(np.uint8).reshape(-1, width)[there].tobytes()
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of a stream, by table look-up."""
     size = length_table()[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    width = {1: 1, 2: 2}.get(int(size.max(initial=1)), 4)
-    out = np.zeros((n, width), np.uint8)
-    out[size[:, None] > np.arange(width, dtype=np.uint8)] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view(f"<u{width}").astype(np.uint32)
+    begin = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[begin].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        there = np.flatnonzero(size > k)
+        out[there] |= raw[begin[there] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:

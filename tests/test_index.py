@@ -1,5 +1,7 @@
 """The mini project: occurrences, statistics, packing, sources; and the registered queries against their SQL."""
 
+import hashlib
+import html
 import os
 import random
 import time
@@ -10,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import catalog, fulltext
 from quire.operators.packing import pack
 from quire.plans import registry
@@ -273,3 +276,38 @@ def test_all_entities_are_decoded(spark):
     page = spark.createDataFrame([(0, "a", "<title>caf&eacute; &#233;t&#xe9;</title><body>x&ndash;y R&amp D &lt;b&gt; &quot;q&quot;</body>")], "page_id bigint, url string, html string")
     got = [(r["is_title"], r["word"]) for r in fulltext.occurrences(page).orderBy("pos").collect()]
     assert got == [(True, "café"), (True, "été"), (False, "x"), (False, "y"), (False, "r"), (False, "d"), (False, "b"), (False, "q")]
+
+
+def decoding_all(sql):
+    """The SQL of a query with html.unescape where it has the seven replacements."""
+    for section in ("t", "b"):
+        seven = registry._strip(section)
+        bare = seven.removeprefix("replace(" * len(text.ENTITIES)).partition(f", '{text.ENTITIES[0][0]}'")[0]
+        sql = sql.replace(seven, f"decode_all({bare})")
+    return sql
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark, tmp_path_factory):
+    """Pages whose entities are cut off, numeric, beyond the seven, or encoded twice; their words fill several leaves."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    odd = ["caf&eacute; &#233;t&#xe9; &amp", "R&amp D &AMP; &ampx &am", "&amp;eacute; &amp;amp; &amp;amp", "x&ndash;y &notit; &#0; &#xD800; &nosuch;", "&lt;b&gt; &quot;q&quot; &middot;&nbsp;&copy;", "plain"]
+    words = lambda i: " ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(60))
+    rows = [(i, f"/{i}", f"<title>{x}</title><body>{x} from an hand {words(i)} {x}") for i, x in enumerate(odd)]
+    spark.createDataFrame([*rows, (len(odd), None, None)], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(n for n, sql in registry.oracle_sql().items() if registry._strip("b") in sql))
+def test_full_text_queries_decode_all_entities(spark, odd_pages, name):
+    """Each full-text query gives the rows of its SQL with all entities decoded, which on these pages are not those with seven."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{odd_pages}/pages.parquet/*.parquet'")
+    con.create_function("decode_all", html.unescape, ["VARCHAR"], "VARCHAR")
+    got = registry.queries()[name](spark, odd_pages)
+    columns = sorted(got.columns)
+    rows = lambda sql: sorted(con.sql(sql).select(*[f'"{c}"' for c in columns]).fetchall(), key=repr)
+    sql = registry.oracle_sql()[name]
+    want = rows(decoding_all(sql))
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == want
+    assert want != rows(sql)
